@@ -157,13 +157,11 @@ def largest(df: DataFrame, k: int, keys: list[str]) -> tuple[int, ...] | None:
     return tuple(found)
 
 
-def at_least(keys: list[str], bound: tuple[int, ...] | None) -> Column:
+def at_least(keys: list[Column], bound: tuple[int, ...] | None) -> Column:
     """Whether a row is not below `bound` in the order of largest()."""
-    if bound is None:
-        return F.lit(True)
     out = F.lit(True)
-    for name, v in reversed(list(zip(keys, bound, strict=True))):
-        out = (F.col(name) > F.lit(v)) | ((F.col(name) == F.lit(v)) & out)
+    for key, v in reversed(list(zip(keys, bound, strict=True)) if bound else []):
+        out = (key > F.lit(v)) | ((key == F.lit(v)) & out)
     return out
 
 
