@@ -30,6 +30,8 @@ UNKNOWN_PENALTY = 10.0
 #: Kinds of pieces in a model file.
 NORMAL, BYTE = 1, 6
 REMEMBERED = 1 << 17
+#: Places that a search for room in the double array may try before later searches start behind them.
+CROWDED = 32
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,7 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     words = sorted(keys)
     base, check, value = [0] * 512, [-1] * 512, [-1] * 512
     check[0] = 0
-    free = 1
+    free = crowded = 257  # so that no base is negative
     todo = [(0, 0, len(words), 0)]  # node, its words, their common length
     for node, lo, hi, depth in todo:
         if lo < hi and len(words[lo]) == depth:
@@ -76,7 +78,8 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
             continue
         while free < len(check) and check[free] != -1:
             free += 1
-        b = max(0, free - heads[0][0] - 1)
+        # nodes with one child fill the first hole; for others the search starts further on once the front is crowded
+        first = b = (free if len(heads) == 1 else max(free, crowded)) - heads[0][0] - 1
         while True:
             if b + 257 >= len(check):
                 more = len(check)
@@ -86,6 +89,8 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
             if all(check[b + c + 1] == -1 for c, _ in heads):
                 break
             b += 1
+        if b - first > CROWDED:
+            crowded = b + heads[0][0] + 1
         base[node] = b
         for (c, start), end in zip(heads, [s for _, s in heads[1:]] + [hi], strict=True):
             check[b + c + 1] = node

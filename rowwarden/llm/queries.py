@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import importance_resampling, quality_rules, token_counts
+from . import importance_resampling, pieces, quality_rules, token_counts
 
 QUERIES = {
     "op2_importance_resampling": importance_resampling.query,
+    "op3_sentencepiece": pieces.query,
     "op5_token_counts": token_counts.query,
     "op10_quality_rules": quality_rules.query,
 }
