@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import importance_resampling, pieces, quality_rules, token_counts
+from . import importance_resampling, mixing, perspectives, pieces, quality_rules, token_counts, toxicity
 
 QUERIES = {
+    "op1_poisson_mixing": mixing.query,
     "op2_importance_resampling": importance_resampling.query,
     "op3_sentencepiece": pieces.query,
     "op5_token_counts": token_counts.query,
+    "op7_perspective_rotation": perspectives.query,
+    "op8_counterfactual_toxicity": toxicity.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_poisson_mixing": mixing.ORACLE_SQL,
+    "op7_perspective_rotation": perspectives.ORACLE_SQL,
+}
