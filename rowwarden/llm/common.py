@@ -81,47 +81,65 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def corpus_counts(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
-    """`size` counters over all rows of df: add(batch, counters) counts one batch.
-
-    Each task counts into an array of its own. Blocks of those arrays are added up on the executors, in two
-    steps and as a stream, so that memory does not depend on the number of tasks; the driver gets `size` numbers.
-    """
+    """`size` counters over all rows of df: add(batch, counters) counts one batch. Each task counts into an array of its own."""
 
     def count(batches):
         acc = np.zeros(size, np.int64)
         for b in batches:
             add(b, acc)
-        blocks = [i for i in range(0, size, BLOCK) if acc[i : i + BLOCK].any()]
-        spread = int(np.random.default_rng().integers(FAN_IN))  # where it is added up, which no result depends on
-        for i in blocks:
-            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([spread], pa.int32()), pa.array([_packed(acc[i : i + BLOCK])], pa.binary())], names=["block", "spread", "counts"])
+        for block, packed in partial_counts(acc):
+            yield _block(block, packed)
+
+    return add_up(df.mapInArrow(count, "block int, counts binary"), size)
+
+
+def partial_counts(acc: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The blocks of a task's counters that are not all zero."""
+    for i in range(0, len(acc), BLOCK):
+        if acc[i : i + BLOCK].any():
+            yield i // BLOCK, _packed(acc[i : i + BLOCK])
+
+
+def add_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of partial counts (block, counts).
+
+    Blocks are added up on the executors, in two steps and as a stream, so that memory does not depend on the number of
+    tasks; the driver gets `size` numbers.
+    """
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v = _unpacked(x)
                 sums[k] = sums[k] + v if k in sums else v
         for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([_packed(v)], pa.binary())], names=["block", "spread", "counts"])
+            yield _block(k, _packed(v))
 
-    kind = "block int, spread int, counts binary"
-    parts = df.mapInArrow(count, kind).repartition("block", "spread").mapInArrow(total, kind)
+    spread = parts.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(FAN_IN))).mapInArrow(total, parts.schema)
     out = np.zeros(size, np.int64)
-    for r in parts.repartition("block").mapInArrow(total, kind).collect():
+    for r in spread.repartition("block").mapInArrow(total, parts.schema).collect():
         v = _unpacked(r.counts)
         out[r.block * BLOCK : r.block * BLOCK + len(v)] = v
     return out
 
 
+def _block(block: int, packed: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=["block", "counts"])
+
+
 def _packed(v: np.ndarray) -> bytes:
-    """Small counts take few bytes: 4 bytes a counter unless one needs 8."""
-    wide = v.max(initial=0) >= 1 << 32
-    return (b"\1" if wide else b"\0") + v.astype(np.uint64 if wide else np.uint32).tobytes()
+    """A byte for each counter; those of 255 and more follow as places and values."""
+    large = np.flatnonzero(v >= 255)
+    return len(v).to_bytes(4, "little") + np.minimum(v, 255).astype(np.uint8).tobytes() + large.astype(np.int64).tobytes() + v[large].astype(np.int64).tobytes()
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.uint64 if x[0] else np.uint32, offset=1).astype(np.int64)
+    n = int.from_bytes(x[:4], "little")
+    v = np.frombuffer(x, np.uint8, n, 4).astype(np.int64)
+    large = np.frombuffer(x[4 + n :], np.int64)
+    v[large[: len(large) // 2]] = large[len(large) // 2 :]
+    return v
 
 
 def unit_hash(seed: int, *cols: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance_resampling, mixing, perspectives, pieces, quality_rules, token_counts, toxicity
+from . import importance_resampling, jaccard_join, mixing, perspectives, pieces, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": token_counts.query,
     "op7_perspective_rotation": perspectives.query,
     "op8_counterfactual_toxicity": toxicity.query,
+    "op9_token_group_join": jaccard_join.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
