@@ -15,8 +15,13 @@ names are replaced.
 
 from __future__ import annotations
 
+import gc
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +34,12 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Kinds of pieces in a model file.
 NORMAL, BYTE = 1, 6
+_LOW = float("-inf")
 REMEMBERED = 1 << 17
+#: Words of up to that many bytes are cut together; longer ones each alone.
+TOGETHER = 48
+#: Characters of text whose words are held at once.
+PORTION = 6 << 20
 #: Places that a search for room in the double array may try before later searches start behind them.
 CROWDED = 32
 
@@ -103,7 +113,11 @@ class Codec:
 
     def __init__(self, model: Model):
         self.pieces, self.scores = model.pieces, model.scores
-        self.base, self.check, self.value = model.base.tolist(), model.check.tolist(), model.value.tolist()
+        # one slot further on, so that a byte is added without the 1; room at the end, so that no step leaves the arrays
+        room = [-1] * 257
+        self.base, self.check = (model.base + 1).tolist(), model.check.tolist() + room
+        self.gain = [model.scores[v] if v >= 0 else None for v in model.value.tolist()]
+        self.value = model.value.tolist()
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         normal = [i for i, k in enumerate(model.kinds) if k == NORMAL]
@@ -111,66 +125,135 @@ class Codec:
         self.unk_id = next((i for i, k in enumerate(model.kinds) if k == 2), 0)
         by_word = all(MARK not in model.pieces[i].lstrip(MARK) for i in normal)
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$").findall if by_word else lambda t: [t]
-        outer = self
-
-        class Seen(dict):
-            def __missing__(self, word):
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[word] = found = outer.viterbi(word)
-                return found
-
-        self.seen = Seen()
-
-    def viterbi(self, word: str) -> tuple[list[int], float]:
-        """The ids of the best cut of a word, and the sum of its scores."""
-        raw = word.encode()
-        n = len(raw)
-        base, check, value, scores = self.base, self.check, self.value, self.scores
-        low = float("-inf")
-        best, start, piece = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        self.value_of = model.value
+        self.chars = {model.pieces[i] for i in normal if len(model.pieces[i]) == 1}
+        self.arrays = (np.array(self.base), np.array(self.check), np.array([_LOW if g is None else g for g in self.gain]))
+        self.seen: dict[str, tuple[list[int], float, int]] = {}
+
+    def cut(self, words: list[str]) -> list[tuple[list[int], float, int]]:
+        """viterbi() of each word. Short words of known characters are walked through the trie together."""
+        raw = list(map(str.encode, words))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        fit = (size <= TOGETHER) & (size > 0) & np.fromiter(map(self.chars.issuperset, words), bool, len(words))
+        out: list = [None] * len(words)
+        for k in np.flatnonzero(~fit).tolist():
+            out[k] = self.viterbi(words[k])
+        together = np.flatnonzero(fit)
+        together = together[np.argsort(size[together], kind="stable")].tolist()
+        for lo in range(0, len(together), 4096):
+            part = together[lo : lo + 4096]
+            for k, found in zip(part, self._cut_together([raw[k] for k in part]), strict=True):
+                out[k] = found
+        return out
+
+    def _cut_together(self, raw: list[bytes]) -> list[tuple[list[int], float, int]]:
+        base, check, gain = self.arrays
+        n = np.array([len(r) for r in raw])
+        width = int(n.max())
+        text = np.full((len(raw), width), 256)  # 256: no step in the trie
+        text[np.arange(width) < n[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+        text = np.ascontiguousarray(text.T)
+        best = np.full((width + 1, len(raw)), _LOW)
+        start, ends = np.zeros((width + 1, len(raw)), np.int64), np.zeros((width + 1, len(raw)), np.int64)
         best[0] = 0.0
-        limit = len(check)
-        i = 0
-        while i < n:
-            first = raw[i]
-            width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-            here, node, whole = best[i], 0, False
-            for j in range(i, n):
-                t = base[node] + raw[j] + 1
-                if t >= limit or check[t] != node:
+        for i in range(width):
+            at = np.flatnonzero((best[i] > _LOW) & (n > i))  # where a character starts
+            here, node = best[i].take(at), np.zeros(len(at), np.int64)
+            for j in range(i, width):
+                t = base.take(node) + text[j].take(at)
+                ok = np.flatnonzero(check.take(t) == node)
+                if not len(ok):
                     break
-                node = t
-                v = value[node]
-                if v >= 0:
-                    whole = whole or j + 1 - i == width
-                    if here + scores[v] > best[j + 1]:
-                        best[j + 1], start[j + 1], piece[j + 1] = here + scores[v], i, v
-            end = i + width
-            if not whole and here + self.unknown > best[end]:
-                best[end], start[end], piece[end] = here + self.unknown, i, -1
-            i = end
+                at, node, here = at.take(ok), t.take(ok), here.take(ok)
+                g = gain.take(node) + here
+                up = np.flatnonzero(g > best[j + 1].take(at))
+                won = at.take(up)
+                best[j + 1][won], start[j + 1][won], ends[j + 1][won] = g.take(up), i, node.take(up)
+        every = np.arange(len(raw))
+        score = best[n, every].tolist()
+        # the ways back, all a piece at a time; last pieces end up at the right
+        ids = np.zeros((len(raw), width), np.int32)
+        back, used, live = n.copy(), np.zeros(len(raw), np.int64), every
+        while len(live):
+            used[live] += 1
+            ids[live, width - used[live]] = self.value_of[ends[back[live], live]]
+            back[live] = start[back[live], live]
+            live = live[back[live] > 0]
+        return [(row[width - u :], v, 0) for row, u, v in zip(ids.tolist(), used.tolist(), score, strict=True)]
+
+    def _trace(self, raw: bytes, start: list[int], ends: list[int]) -> tuple[list[int], int]:
+        """Pieces of the best way back from the end, and how many are bytes."""
         out: list[int] = []
-        at = n
+        at, in_bytes = len(raw), 0
+        value = self.value
         while at > 0:
             i = start[at]
-            if piece[at] >= 0:
-                out.append(piece[at])
+            if ends[at]:
+                out.append(value[ends[at]])
             else:
                 out += [self.byte_id.get(b, self.unk_id) for b in reversed(raw[i:at])]
+                in_bytes += at - i
             at = i
         out.reverse()
-        return out, best[n]
-
-    def encode(self, text: str) -> tuple[list[int], float]:
-        if not text:
-            return [], 0.0
-        ids: list[int] = []
-        total = 0.0
-        for found, score in map(self.seen.__getitem__, self.split(MARK + text.replace(" ", MARK))):
-            ids += found
-            total += score
-        return ids, total
+        return out, in_bytes
+
+    def viterbi(self, word: str) -> tuple[list[int], float, int]:
+        """The ids of the best cut of a word, the sum of its scores and the number of byte pieces."""
+        raw = word.encode()
+        n = len(raw)
+        base, check, gain, unknown = self.base, self.check, self.gain, self.unknown
+        best: list[float] = [_LOW] * (n + 1)
+        start, ends = [0] * (n + 1), [0] * (n + 1)  # of the best piece that ends here: its start, and its node in the trie
+        best[0] = 0.0
+        for i in range(n):
+            here = best[i]
+            if here == _LOW:
+                continue  # within a character
+            node, j, first = 0, i, raw[i]
+            end = i + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+            covered = False
+            for c in raw[i:]:
+                t = base[node] + c
+                if check[t] != node:
+                    break
+                node = t
+                j += 1
+                g = gain[t]
+                if g is not None:
+                    if j == end:
+                        covered = True
+                    g += here
+                    if g > best[j]:
+                        best[j], start[j], ends[j] = g, i, t
+            if not covered and here + unknown > best[end]:
+                best[end], start[end], ends[end] = here + unknown, i, 0
+        ids, in_bytes = self._trace(raw, start, ends)
+        return ids, best[n], in_bytes
+
+    def encode(self, text: str) -> tuple[list[int], float, int]:
+        """The ids of a whole text, the sum of their scores and the number of byte pieces."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, batch: list[str]) -> Iterator[tuple[list[int], float, int]]:
+        """encode() of each text. New words of about PORTION characters of text are cut together."""
+        lo = 0
+        while lo < len(batch):
+            hi, size = lo, 0
+            while hi < len(batch) and (hi == lo or size + len(batch[hi]) <= PORTION):
+                size += len(batch[hi])
+                hi += 1
+            split = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in batch[lo:hi]]
+            counts = Counter(chain.from_iterable(split))
+            new = [w for w in counts if w not in self.seen]
+            found = dict(zip(new, self.cut(new), strict=True))
+            known = self.seen | found
+            again = {w: found[w] for w in new if counts[w] > 1}  # a word met once is likely not met again
+            self.seen = again if len(self.seen) + len(again) > REMEMBERED else self.seen | again
+            for words in split:
+                cuts = list(map(known.__getitem__, words))
+                ids = list(chain.from_iterable(map(itemgetter(0), cuts)))
+                yield ids, sum(map(itemgetter(1), cuts)), sum(map(itemgetter(2), cuts))
+            lo = hi
 
     def decode(self, ids: list[int]) -> str:
         if self.byte_of.keys().isdisjoint(ids):
@@ -181,9 +264,6 @@ class Codec:
         text = text.replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
-    def bytes_in(self, ids: list[int]) -> int:
-        return 0 if self.byte_of.keys().isdisjoint(ids) else sum(i in self.byte_of for i in ids)
-
 
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """docs with pieces (ids of the whole text), n_pieces, n_byte_pieces, score and round_trip (whether decoding gives the text back)."""
@@ -194,9 +274,12 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
 
         def work(batch):
             out = []
-            for x in batch:
-                ids, score = codec.encode(x)
-                out.append((np.array(ids, np.int32), len(ids), codec.bytes_in(ids), score, codec.decode(ids) == x))
+            gc.disable()  # many small lists and no cycles: looking for cycles takes longer than the encoding
+            try:
+                for x, (ids, score, in_bytes) in zip(batch, codec.encode_all(batch), strict=True):
+                    out.append((np.array(ids, np.int32), len(ids), in_bytes, score, codec.decode(ids) == x))
+            finally:
+                gc.enable()
             return list(zip(*out, strict=True)) if out else [[] for _ in added]
 
         return work
