@@ -22,6 +22,12 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """df under names that no operator adds, those names by the old ones, and the columns that restore the old ones."""
+    names = [f"in_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True)), [F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)]
+
+
 def with_text_columns(df: DataFrame, text: str, added: T.StructType, make: Callable[[], Callable[[list], list]], as_bytes: bool = False) -> DataFrame:
     """df with the columns of `added` worked out from the whole of column `text`.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import table, written
-from .common import at_least, largest, sortable, unit_hash, with_text_columns
+from .common import at_least, largest, plain_names, sortable, unit_hash, with_text_columns
 from .ngram_ratio import BUCKETS, MAX_TARGET_DOCS, grams, log_ratios
 
 TEMPER = 100
@@ -78,10 +78,10 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str
 def keep_resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that resample() keeps, with the columns of docs. Texts are scored once more instead of shuffled."""
     ratios = log_ratios(docs, labels, text, doc_id)
-    ident = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    bound = threshold(written(weigh(ident, ratios).drop("text"), "weights"), k=k)
-    carried = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
-    return weigh(carried, ratios).where(kept_column(bound)).select("row.*")
+    rows, name, restored = plain_names(docs)
+    of = {"text": name[text], "doc_id": name[doc_id]}
+    bound = threshold(written(weigh(rows.select(*of.values()), ratios, **of).drop(of["text"]), "weights"), of["doc_id"], k)
+    return weigh(rows, ratios, **of).where(kept_column(bound, of["doc_id"])).select(restored)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import without
+from .common import plain_names, without
 
 TEMPERATURE = 0.7
 SEED = 1
@@ -69,6 +69,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs:
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The copies with the columns of docs only."""
+    rows, name, restored = plain_names(docs)
+    return mix(rows, text=name["text"], source=name["source"], doc_id=name["doc_id"], **options).select(restored)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
