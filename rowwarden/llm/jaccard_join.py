@@ -9,9 +9,10 @@ reaches the threshold. The result names each document's component.
    Only prefix tokens that two documents have travel further. Frequent ones are dealt out by document as well.
 3. Grouping: each document is compared with the one leader (smallest id) it shares most prefix tokens with. Those
    that link form groups, cut into blocks of at most about GROUP documents.
-4. Token-group matrix: the union of prefix tokens of each block. For a document and a block of another component, the
-   number of its prefix tokens in the block's union, and what lies behind the prefixes, bound every overlap;
-   blocks that can reach the threshold are opened, and the same bound is taken for each of their documents.
+4. Token-group matrix: the union of prefix tokens of each block. A document meets a block of another component at a
+   token behind which both have enough left to link. Then the number of its prefix tokens in the block's union, and
+   what lies behind the prefixes, bound every overlap; blocks that can reach the threshold are opened, and the same
+   bound is taken for each of their documents.
 5. What is left is compared in full. Components of all links found are the result: pairs within a component never
    matter, so no group is expanded into its pairs, and no pair across components is left out.
 
@@ -64,14 +65,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     signatures = both.where("block is null").select("doc_id", "n", "high", "low")
     frequency = add_up(both.where("block is not null").select("block", "counts"), sketch)
 
-    classes = signatures.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("first"))
+    # only sets of more than one document, as a table of their own: a join that can split a set of very many documents
+    classes = written(signatures.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count("*").alias("found")).where("found > 1").drop("found"), "classes")
     copies = written(signatures.where("n > 0").join(classes, ["high", "low"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
 
     # rare tokens that at least two documents share
     raw = _prefixes(known, frequency, words, similar, of, hot)
-    shared = raw.withColumn("found", F.count("*").over(Window.partitionBy("token", "part"))).where("found > 1 or part >= 0").select("token", "doc_id", "n")
-    as_first = shared.join(copies, "doc_id", "left").select("token", F.coalesce("first", "doc_id").alias("doc"), "n")
-    rare = written(as_first.groupBy("token", "doc").agg(F.min("n").alias("n")), "prefixes")
+    shared = raw.withColumn("found", F.count("*").over(Window.partitionBy("token", "part"))).where("found > 1 or part >= 0").select("token", "doc_id", "n", "place")
+    as_first = shared.join(copies, "doc_id", "left").select("token", F.coalesce("first", "doc_id").alias("doc"), "n", "place")
+    rare = written(as_first.groupBy("token", "doc", "n").agg(F.min("place").alias("place")), "prefixes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return _verified(known, pairs, words, similar, of)
@@ -87,20 +89,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     # the matrix: prefix tokens of blocks
     sizes = grouped.groupBy("component").agg(F.count("*").alias("members"))
     block_of = grouped.join(sizes, "component").select(F.col("node").alias("doc"), "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / group)).alias("block"))
-    placed = rare.join(block_of, "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("block", F.lit(0)).alias("block"))
+    placed = rare.join(block_of, "doc", "left").select("token", "doc", "n", "place", F.coalesce("component", "doc").alias("component"), F.coalesce("block", F.lit(0)).alias("block"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     open_rows = written(placed.join(mixed, "token"), "matrix")
-    unions = open_rows.groupBy("token", "component", "block").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
     # (the sizes are those of members with the token, which every member that can link through it is among)
+    block_key = ["component", "block"]
+    unions = written(open_rows.groupBy("token", *block_key).agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("place").alias("place_low")), "unions")
     q, g = open_rows.alias("q"), unions.alias("g")
-    bound = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.component") < F.col("g.component")))
-    bound = bound.groupBy("q.doc", "q.n", F.col("g.component").alias("component"), F.col("g.block").alias("block")).agg(F.count("*").alias("common"), F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"))
-    opened = bound.where(_reaches(F.col("common"), F.col("n"), F.col("n_low"), similar, of, F.col("n_high"))).select("doc", "component", "block")
+    # the first token that two sets share leaves them no more than what follows it in either
+    rest = F.least(F.col("q.n") - F.col("q.place"), F.col("n_high") - F.col("place_low"))
+    possible = rest * (similar + of) >= (F.col("q.n") + F.col("n_low")) * similar
+    met = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.component") < F.col("g.component")) & possible).select("q.doc", "g.component", "g.block").distinct()
+    met = written(met, "met")
+    asked = open_rows.select("token", "doc", "n").join(met, "doc")
+    bound = asked.join(unions, ["token", *block_key]).groupBy("doc", "n", *block_key).agg(F.count("*").alias("common"), F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"))
+    opened = bound.where(_reaches(F.col("common"), F.col("n"), F.col("n_low"), similar, of, F.col("n_high"))).select("doc", *block_key)
     # documents of opened blocks
-    asked = open_rows.select("token", F.col("doc").alias("a"), F.col("n").alias("n_a"))
-    members = open_rows.select("token", F.col("doc").alias("b"), F.col("n").alias("n_b"), "component", "block")
-    single = asked.join(opened, F.col("a") == F.col("doc")).select("token", "a", "n_a", "component", "block")
-    pairs = single.join(members, ["token", "component", "block"]).groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("common"))
+    members = open_rows.select("token", F.col("doc").alias("b"), F.col("n").alias("n_b"), *block_key)
+    single = open_rows.select("token", "doc", F.col("n").alias("n_a")).join(opened, "doc").withColumnRenamed("doc", "a")
+    pairs = single.join(members, ["token", *block_key]).groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("common"))
     across = written(linked(pairs.where(_reaches(F.col("common"), F.col("n_a"), F.col("n_b"), similar, of)).select("a", "b")), "links")
 
     found = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across).union(copies))
@@ -157,7 +164,7 @@ def _signatures(docs: DataFrame, words: int, sketch: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, frequency: np.ndarray, words: int, similar: int, of: int, hot: int) -> DataFrame:
-    """token, part, doc_id and n: the prefix of each set; of equal sets in a task, the first. part is -1 for tokens that are not hot."""
+    """token, part, doc_id, n and the token's place: the prefix of each set; of equal sets in a task, the first. part is -1 for tokens that are not hot."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, (1 << 31) - 1).astype(np.int32))
     size = len(frequency)
 
@@ -166,7 +173,7 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, words: int, similar: int,
 
         seen: set[bytes] = set()
         for b in batches:
-            token, part, doc, count = [], [], [], []
+            token, part, doc, count, place = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), texts(b, "text", True), strict=True):
                 s = shingles(t, words)
                 key = xxh3_128_digest(s.tobytes())
@@ -182,11 +189,12 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, words: int, similar: int,
                 part.append(np.where(parts > 1, (hash(i) * 0x9E3779B97F4A7C15 >> 32 & 0x7FFFFFFF) % np.maximum(parts, 1), -1))
                 doc.append(np.full(len(first), i))
                 count.append(np.full(len(first), len(s)))
+                place.append(np.arange(len(first)))
             if token:
                 cat = lambda v, kind: pa.array(np.concatenate(v).astype(kind))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), cat(part, np.int32), cat(doc, np.int64), cat(count, np.int32)], names=["token", "part", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), cat(part, np.int32), cat(doc, np.int64), cat(count, np.int32), cat(place, np.int32)], names=["token", "part", "doc_id", "n", "place"])
 
-    return docs.mapInArrow(run, "token bigint, part int, doc_id bigint, n int")
+    return docs.mapInArrow(run, "token bigint, part int, doc_id bigint, n int, place int")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, similar: int, of: int) -> DataFrame:
