@@ -47,7 +47,7 @@ def match_fields(names: Column, header: Column) -> Column:
     """Struct of exact, spelling (pairs that are equal after norm), missing and undeclared names."""
     cleaned = F.transform(header, norm)
     near = F.filter(names, lambda n: ~F.array_contains(header, n) & F.array_contains(cleaned, norm(n)))
-    pairs = F.transform(near, lambda n: F.struct(n.alias("declared"), F.element_at(header, last_place(cleaned, norm(n))).alias("column")))
+    pairs = F.transform(near, lambda n: F.named_struct(F.lit("declared"), n, F.lit("column"), F.element_at(header, last_place(cleaned, norm(n)))))
     exact = F.filter(names, lambda n: F.array_contains(header, n))
     used = F.concat(exact, F.transform(pairs, lambda p: p["column"]))
     return F.struct(exact.alias("exact"), pairs.alias("spelling"), F.filter(names, lambda n: ~F.array_contains(F.concat(exact, near), n)).alias("missing"), F.filter(header, lambda h: ~F.array_contains(used, h)).alias("undeclared"))

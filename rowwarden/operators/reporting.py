@@ -104,9 +104,8 @@ def network(facts: DataFrame) -> DataFrame:
     net, zipped = timed & F.col("network_s").isNotNull(), timed & (F.col("kind") == "zip") & (F.col("download_s") > 0)
     total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("double")
     mb_s = lambda b, s: F.round(F.try_divide(b, s) / 1e6, 2)
-    first = F.when(timed, F.col("first_byte_s"))
-    rows = tried.withColumn("host", F.coalesce("host", F.lit("—")))
-    upper = F.try_element_at(F.array_sort(F.collect_list(first)), F.floor(F.count(first) / 2).cast("int") + 1)
+    rows = tried.withColumn("host", F.coalesce("host", F.lit("—"))).withColumn("first", F.when(timed, F.col("first_byte_s")))
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY first DESC)")  # from above: the upper one
     return rows.groupingSets([["host"], []], "host").agg(
         F.count("*").alias("files"), F.count_if(F.col("status") == "error").alias("failed_files"), F.round(total("bytes", timed) / 1e9, 2).alias("gb"), F.round(total("seconds", timed) / 60, 1).alias("minutes"),
         mb_s(total("bytes", timed), total("seconds", timed)).alias("end_to_end_mb_s"), mb_s(total("bytes", zipped), total("download_s", zipped)).alias("zip_download_mb_s"), upper.alias("first_byte_s_median"),

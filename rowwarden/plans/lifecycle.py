@@ -83,8 +83,10 @@ def validate(files: DataFrame, contract: DataFrame) -> Validation:
     observed = written(cells.observed_schema(table_rows), "observed")
     # sampled values by the place of the declared field
     names = table_rows.groupBy("resource_id").agg(F.min_by("header", "row_no").alias("header")).join(conformance.gathered(contract), "resource_id")
-    m = conformance.match_fields(F.transform("fields", lambda f: f["name"]), F.col("header"))
-    places = names.select("resource_id", "header", F.explode("fields").alias("f"), m["spelling"].alias("spelling")).select("resource_id", F.col("f.pos").alias("pos"), F.coalesce(F.get(F.transform(F.filter("spelling", lambda p: p["declared"] == F.col("f.name")), lambda p: p["column"]), 0), F.col("f.name")).alias("name"))
+    matched = names.withColumn("m", conformance.match_fields(F.transform("fields", lambda f: f["name"]), F.col("header")))
+    each = matched.select("resource_id", F.explode("fields").alias("f"), F.col("m.spelling").alias("spelling"))
+    spelled = F.get(F.filter("spelling", lambda p: p["declared"] == F.col("f.name")), 0)["column"]
+    places = each.select("resource_id", F.col("f.pos").alias("pos"), F.coalesce(spelled, F.col("f.name")).alias("name"))
     values = cells.columns(table_rows).drop("pos").join(places, ["resource_id", "name"])
     complete = written(cells.complete_formats(contract, values).drop("inferred"), "contract")
     checked = conformance.check(table_rows, complete)
