@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
+
 #: Counters that travel together when partial counts are added up.
 BLOCK = 1 << 14
 #: Partial counts of a block are first added up in this many places.
@@ -34,13 +36,14 @@ def with_text_columns(df: DataFrame, text: str, added: T.StructType, make: Calla
     make() runs once per task and gives a function from the texts of a batch to one list per added column.
     Input columns of the same names are replaced.
     """
+    small_batches(df.sparkSession)
     df = without(df, added.fieldNames())
     schema = T.StructType(df.schema.fields + added.fields)
     kinds = [(f.name, _arrow(f.dataType)) for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             got = work(texts(batch, text, as_bytes))
             arrays = batch.columns + [pa.array(v, k) for v, (_, k) in zip(got, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names + [n for n, _ in kinds])
@@ -48,6 +51,16 @@ def with_text_columns(df: DataFrame, text: str, added: T.StructType, make: Calla
     return df.mapInArrow(run, schema)
 
 
+def portions(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes, so that Python objects are made of little at a time."""
+    rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+    if not batch.num_rows:
+        yield batch
+    pa.default_memory_pool().release_unused()
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -89,6 +102,8 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 def corpus_counts(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
     """`size` counters over all rows of df: add(batch, counters) counts one batch. Each task counts into an array of its own."""
 
+    small_batches(df.sparkSession)
+
     def count(batches):
         acc = np.zeros(size, np.int64)
         for b in batches:

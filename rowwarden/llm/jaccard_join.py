@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from .common import add_up, gram_hashes, partial_counts, texts, word_hashes
+from .common import add_up, gram_hashes, partial_counts, portions, texts, word_hashes
 from .components import components
 
 WORDS = 4
@@ -145,7 +145,7 @@ def _signatures(docs: DataFrame, words: int, sketch: int) -> DataFrame:
 
         names = ["doc_id", "n", "high", "low", "block", "counts"]
         counts = np.zeros(sketch, np.int64)
-        for b in batches:
+        for b in (part for whole in batches for part in portions(whole)):
             size, high, low = [], [], []
             for t in texts(b, "text", True):
                 s = shingles(t, words)
@@ -172,7 +172,7 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, words: int, similar: int,
         from xxhash import xxh3_128_digest
 
         seen: set[bytes] = set()
-        for b in batches:
+        for b in (piece for whole in batches for piece in portions(whole)):
             token, part, doc, count, place = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), texts(b, "text", True), strict=True):
                 s = shingles(t, words)

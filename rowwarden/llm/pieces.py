@@ -39,7 +39,7 @@ REMEMBERED = 1 << 17
 #: Words of up to that many bytes are cut together; longer ones each alone.
 TOGETHER = 48
 #: Characters of text whose words are held at once.
-PORTION = 6 << 20
+PORTION = 2 << 20
 #: Places that a search for room in the double array may try before later searches start behind them.
 CROWDED = 32
 
