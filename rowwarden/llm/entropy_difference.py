@@ -89,10 +89,11 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     counts = corpus_counts(rows, 2 * n_classes + 2, count_words)
     starts = (int(counts[-1]), int(counts[-2]))
-    shared = sc.broadcast(Models.of(counts[:n_classes], counts[n_classes : 2 * n_classes], vocabulary))  # its size is fixed
+    vocab = Models.of(counts[:n_classes], counts[n_classes : 2 * n_classes], vocabulary)
+    shared = sc.broadcast((vocab.number, vocab.target, vocab.background))  # its size is fixed
 
     def count_pairs(batches):
-        models, waiting, size = shared.value, [], 0
+        models, waiting, size = Models(*shared.value), [], 0
 
         def flush():
             keys = np.concatenate([k for k, _ in waiting])
@@ -123,11 +124,11 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         least, room = at, room - n
     top = model.where(F.col("n") >= least).toArrow().sort_by("key")
     top_keys = top.column("key").to_numpy()
-    top_losses = shared.value.losses(top_keys, top.column("n_good").to_numpy(), top.column("n").to_numpy(), starts)
+    top_losses = vocab.losses(top_keys, top.column("n_good").to_numpy(), top.column("n").to_numpy(), starts)
     hot = sc.broadcast((top_keys, *top_losses))  # at most `frequent` rows
 
     def look_up(batches):
-        models, (known, loss_t, loss_b) = shared.value, hot.value
+        models, (known, loss_t, loss_b) = Models(*shared.value), hot.value
         for b in batches:
             doc, key, count, target, background = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), texts(b, "text", True), strict=True):
@@ -144,7 +145,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in ((doc, np.int64), (key, np.int64), (count, np.int64), (target, float), (background, float))], names=["doc_id", "key", "times", "target", "background"])
 
     def settle(batches):
-        models = shared.value
+        models = Models(*shared.value)
         for b in batches:
             doc, key, times, target, background, n, good = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             own = key < 0

@@ -55,6 +55,10 @@ class Model:
     check: np.ndarray
     value: np.ndarray
 
+    def parts(self) -> tuple:
+        """What a broadcast holds: plain values, so that executors need no copy of this package."""
+        return self.pieces, self.scores, self.kinds, self.base, self.check, self.value
+
 
 def load(path: str) -> Model:
     from sentencepiece import sentencepiece_model_pb2
@@ -267,10 +271,10 @@ class Codec:
 
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """docs with pieces (ids of the whole text), n_pieces, n_byte_pieces, score and round_trip (whether decoding gives the text back)."""
-    model = docs.sparkSession.sparkContext.broadcast(load(model_path))  # a vocabulary file: its size is fixed
+    model = docs.sparkSession.sparkContext.broadcast(load(model_path).parts())  # a vocabulary file: its size is fixed
 
     def make():
-        codec = Codec(model.value)
+        codec = Codec(Model(*model.value))
 
         def work(batch):
             out = []
@@ -290,10 +294,10 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
 
 def decode_pieces(docs: DataFrame, model_path: str, pieces: str = "pieces", into: str = "decoded") -> DataFrame:
     """docs with the text of each array of ids; a null array gives the empty text."""
-    model = docs.sparkSession.sparkContext.broadcast(load(model_path))
+    model = docs.sparkSession.sparkContext.broadcast(load(model_path).parts())
 
     def make():
-        codec = Codec(model.value)
+        codec = Codec(Model(*model.value))
         return lambda batch: [[codec.decode(list(x)) if len(x) else "" for x in batch]]
 
     return with_text_columns(docs, pieces, T.StructType([T.StructField(into, T.StringType())]), make)

@@ -161,10 +161,10 @@ class Scorer:
 
 def score_texts(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # no more weights than the bounded sample has features
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # no more weights than the bounded sample has features
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Classifier(*shared.value))
 
         def work(batch):
             s = [scorer.score(t) for t in batch]

@@ -5,7 +5,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from rowwarden.llm import entropy_difference, hamming_search, jaccard_join, perspectives
 from rowwarden.llm.components import components
