@@ -15,13 +15,10 @@ names are replaced.
 
 from __future__ import annotations
 
-import gc
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +32,7 @@ UNKNOWN_PENALTY = 10.0
 #: Kinds of pieces in a model file.
 NORMAL, BYTE = 1, 6
 _LOW = float("-inf")
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 #: Words of up to that many bytes are cut together; longer ones each alone.
 TOGETHER = 48
 #: Characters of text whose words are held at once.
@@ -124,6 +121,7 @@ class Codec:
         self.value = model.value.tolist()
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
+        self.is_byte = np.isin(np.arange(len(model.pieces)), list(self.byte_of))
         normal = [i for i, k in enumerate(model.kinds) if k == NORMAL]
         self.unknown = min((self.scores[i] for i in normal), default=0.0) - UNKNOWN_PENALTY
         self.unk_id = next((i for i, k in enumerate(model.kinds) if k == 2), 0)
@@ -132,16 +130,19 @@ class Codec:
         self.value_of = model.value
         self.chars = {model.pieces[i] for i in normal if len(model.pieces[i]) == 1}
         self.arrays = (np.array(self.base), np.array(self.check), np.array([_LOW if g is None else g for g in self.gain]))
-        self.seen: dict[str, tuple[list[int], float, int]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.score_of = np.array(model.scores)
+        #: Byte pieces that begin a character.
+        self.is_lead = np.isin(np.arange(len(model.pieces)), [i for i, b in self.byte_of.items() if b & 0xC0 != 0x80])
 
-    def cut(self, words: list[str]) -> list[tuple[list[int], float, int]]:
-        """viterbi() of each word. Short words of known characters are walked through the trie together."""
+    def cut(self, words: list[str]) -> list[bytes]:
+        """The ids of each word's best cut, as the bytes of 32-bit numbers. Short words of known characters are walked through the trie together."""
         raw = list(map(str.encode, words))
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         fit = (size <= TOGETHER) & (size > 0) & np.fromiter(map(self.chars.issuperset, words), bool, len(words))
         out: list = [None] * len(words)
         for k in np.flatnonzero(~fit).tolist():
-            out[k] = self.viterbi(words[k])
+            out[k] = np.array(self.viterbi(words[k])[0], np.int32).tobytes()
         together = np.flatnonzero(fit)
         together = together[np.argsort(size[together], kind="stable")].tolist()
         for lo in range(0, len(together), 4096):
@@ -150,7 +151,7 @@ class Codec:
                 out[k] = found
         return out
 
-    def _cut_together(self, raw: list[bytes]) -> list[tuple[list[int], float, int]]:
+    def _cut_together(self, raw: list[bytes]) -> list[bytes]:
         base, check, gain = self.arrays
         n = np.array([len(r) for r in raw])
         width = int(n.max())
@@ -173,22 +174,21 @@ class Codec:
                 up = np.flatnonzero(g > best[j + 1].take(at))
                 won = at.take(up)
                 best[j + 1][won], start[j + 1][won], ends[j + 1][won] = g.take(up), i, node.take(up)
-        every = np.arange(len(raw))
-        score = best[n, every].tolist()
         # the ways back, all a piece at a time; last pieces end up at the right
         ids = np.zeros((len(raw), width), np.int32)
-        back, used, live = n.copy(), np.zeros(len(raw), np.int64), every
+        back, used, live = n.copy(), np.zeros(len(raw), np.int64), np.arange(len(raw))
         while len(live):
             used[live] += 1
             ids[live, width - used[live]] = self.value_of[ends[back[live], live]]
             back[live] = start[back[live], live]
             live = live[back[live] > 0]
-        return [(row[width - u :], v, 0) for row, u, v in zip(ids.tolist(), used.tolist(), score, strict=True)]
+        whole, row = ids.tobytes(), 4 * width
+        return [whole[end - 4 * u : end] for end, u in zip(range(row, row * len(raw) + 1, row), used.tolist(), strict=True)]
 
-    def _trace(self, raw: bytes, start: list[int], ends: list[int]) -> tuple[list[int], int]:
-        """Pieces of the best way back from the end, and how many are bytes."""
+    def _trace(self, raw: bytes, start: list[int], ends: list[int]) -> list[int]:
+        """Pieces of the best way, from the end back."""
         out: list[int] = []
-        at, in_bytes = len(raw), 0
+        at = len(raw)
         value = self.value
         while at > 0:
             i = start[at]
@@ -196,13 +196,12 @@ class Codec:
                 out.append(value[ends[at]])
             else:
                 out += [self.byte_id.get(b, self.unk_id) for b in reversed(raw[i:at])]
-                in_bytes += at - i
             at = i
         out.reverse()
-        return out, in_bytes
+        return out
 
-    def viterbi(self, word: str) -> tuple[list[int], float, int]:
-        """The ids of the best cut of a word, the sum of its scores and the number of byte pieces."""
+    def viterbi(self, word: str) -> tuple[list[int], float]:
+        """The ids of the best cut of a word and the sum of its scores."""
         raw = word.encode()
         n = len(raw)
         base, check, gain, unknown = self.base, self.check, self.gain, self.unknown
@@ -231,14 +230,13 @@ class Codec:
                         best[j], start[j], ends[j] = g, i, t
             if not covered and here + unknown > best[end]:
                 best[end], start[end], ends[end] = here + unknown, i, 0
-        ids, in_bytes = self._trace(raw, start, ends)
-        return ids, best[n], in_bytes
+        return self._trace(raw, start, ends), best[n]
 
-    def encode(self, text: str) -> tuple[list[int], float, int]:
-        """The ids of a whole text, the sum of their scores and the number of byte pieces."""
+    def encode(self, text: str) -> tuple[np.ndarray, float]:
+        """The ids of a whole text and the sum of their scores."""
         return next(self.encode_all([text]))
 
-    def encode_all(self, batch: list[str]) -> Iterator[tuple[list[int], float, int]]:
+    def encode_all(self, batch: list[str]) -> Iterator[tuple[np.ndarray, float]]:
         """encode() of each text. New words of about PORTION characters of text are cut together."""
         lo = 0
         while lo < len(batch):
@@ -247,24 +245,25 @@ class Codec:
                 size += len(batch[hi])
                 hi += 1
             split = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in batch[lo:hi]]
-            counts = Counter(chain.from_iterable(split))
-            new = [w for w in counts if w not in self.seen]
-            found = dict(zip(new, self.cut(new), strict=True))
-            known = self.seen | found
-            again = {w: found[w] for w in new if counts[w] > 1}  # a word met once is likely not met again
-            self.seen = again if len(self.seen) + len(again) > REMEMBERED else self.seen | again
+            seen = self.seen
+            new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in seen]
+            if len(seen) + len(new) > REMEMBERED:
+                seen.clear()
+                new = list(dict.fromkeys(chain.from_iterable(split)))
+            seen.update(zip(new, self.cut(new), strict=True))
             for words in split:
-                cuts = list(map(known.__getitem__, words))
-                ids = list(chain.from_iterable(map(itemgetter(0), cuts)))
-                yield ids, sum(map(itemgetter(1), cuts)), sum(map(itemgetter(2), cuts))
+                ids = np.frombuffer(b"".join(map(seen.__getitem__, words)), np.int32)
+                score = self.score_of[ids[~self.is_byte[ids]]].sum() + self.unknown * self.is_lead[ids].sum()
+                yield ids, float(score)
             lo = hi
 
-    def decode(self, ids: list[int]) -> str:
-        if self.byte_of.keys().isdisjoint(ids):
-            text = "".join(map(self.pieces.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.asarray(ids, np.int32)
+        if not self.is_byte[ids].any():
+            text = "".join(map(self.pieces.__getitem__, ids.tolist()))
         else:
             byte_of = self.byte_of
-            text = b"".join(bytes((byte_of[i],)) if i in byte_of else self.pieces[i].encode() for i in ids).decode(errors="replace")
+            text = b"".join(bytes((byte_of[i],)) if i in byte_of else self.pieces[i].encode() for i in ids.tolist()).decode(errors="replace")
         text = text.replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -278,12 +277,8 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
 
         def work(batch):
             out = []
-            gc.disable()  # many small lists and no cycles: looking for cycles takes longer than the encoding
-            try:
-                for x, (ids, score, in_bytes) in zip(batch, codec.encode_all(batch), strict=True):
-                    out.append((np.array(ids, np.int32), len(ids), in_bytes, score, codec.decode(ids) == x))
-            finally:
-                gc.enable()
+            for x, (ids, score) in zip(batch, codec.encode_all(batch), strict=True):
+                out.append((ids, len(ids), int(codec.is_byte[ids].sum()), score, codec.decode(ids) == x))
             return list(zip(*out, strict=True)) if out else [[] for _ in added]
 
         return work
