@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from .common import add_up, gram_hashes, partial_counts, portions, texts, word_hashes
+from .common import add_up, gram_hashes, partial_counts, plain_names, portions, texts, word_hashes
 from .components import components
 
 WORDS = 4
@@ -115,11 +115,20 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: int) -> DataFrame:
-    """The rows of docs without those of a component whose smallest id is another; rows with a null id stay."""
-    found = jaccard_components(docs, text, doc_id, **options)
+    """One document of each component, that of the smallest id; of rows of one id the first by text. Rows with a null id stay."""
+    found = written(jaccard_components(docs, text, doc_id, **options), "components")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{doc_id}`").cast("bigint") == F.col("gone_id"), "left_anti")
+    ident = F.col(f"`{doc_id}`").cast("bigint")
+    left = docs.join(F.broadcast(gone) if few else gone, ident == F.col("gone_id"), "left_anti")
+    again = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("rows")).where("rows > 1").select("again_id")
+    if again.isEmpty():
+        return left
+    rows, name, restored = plain_names(left)
+    ident = F.col(name[doc_id]).cast("bigint")
+    first = F.row_number().over(Window.partitionBy(name[doc_id]).orderBy(name[text], *[c for n, c in name.items() if n not in (doc_id, text)]))
+    one = rows.join(again, ident == F.col("again_id"), "left_semi").withColumn("nth", first).where("nth = 1").drop("nth")
+    return rows.join(again, ident == F.col("again_id"), "left_anti").union(one).select(restored)
 
 
 def _prefix(n: Column, similar: int, of: int) -> Column:

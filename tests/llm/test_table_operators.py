@@ -72,7 +72,9 @@ def test_join_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, component_id string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (None, 2, None), (None, 0, None), (3, 0, 3)], key=str)
-    assert jaccard_join.keep_first(df).schema == df.schema
+    kept = jaccard_join.keep_first(df)
+    assert kept.schema == df.schema
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text) == [("1", "a b c d e"), ("None", "a b c d e")] and kept.count() == 4
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
