@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, header_score, jaccard, name_score, tokens
+from ..functions.text import basename, header_score, jaccard, name_score, norm, tokens
 
 #: Methods, from the weakest.
 METHODS = ("single", "name", "header", "declared-id")
@@ -28,24 +28,33 @@ def link(dictionaries: DataFrame, tables: DataFrame) -> DataFrame:
     """dataset, table_id, dictionary_id, part, method and score of each linked table.
 
     dictionaries: dataset, dictionary_id, dict_pos, name, part, label, names (field names), declared_ids.
-    tables: dataset, table_id, name, header (may be null). Pairs are those of one dataset only, by an equi-join.
+    tables: dataset, table_id, name, header (may be null). Evidence needs something in common (an id, a token of the
+    name, a column), so pairs come from equi-joins on those, not from all pairs of a dataset; only a dictionary that is
+    alone meets every table of its dataset.
     """
-    in_dataset = Window.partitionBy("dataset")
-    d = dictionaries.withColumn("units", F.count("*").over(in_dataset)).withColumn("full", F.trim(F.concat_ws(" ", "name", "label"))).drop("name")
-    t = tables.withColumn("files", F.count("*").over(in_dataset))
-    pairs = d.join(t, "dataset")
+    count = lambda df, n: df.groupBy("dataset").agg(F.count("*").alias(n))
+    d = dictionaries.withColumn("full", F.trim(F.concat_ws(" ", "name", "label"))).drop("name").join(count(dictionaries, "units"), "dataset")
+    t = tables.join(count(tables, "files"), "dataset")
+    marked = lambda mark, a: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.concat(F.lit(mark), x))
+    names = lambda c: F.transform(F.col(c), lambda x: norm(x))
+    unit, file = ["dataset", "dictionary_id", "part"], ["dataset", "table_id"]
+    of_d = d.select(*unit, F.explode(F.array_distinct(F.concat(marked("i", F.col("declared_ids")), marked("t", tokens(F.col("full"))), marked("t", tokens(F.col("label"))), marked("h", names("names"))))).alias("key"))
+    of_t = t.select(*file, F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("i"), F.col("table_id"))), marked("t", tokens(F.col("name"))), marked("h", names("header"))))).alias("key"))
+    alone = d.where("units = 1").select(*unit).join(t.select(*file), "dataset")
+    met = of_d.join(of_t, ["dataset", "key"]).select(*unit, "table_id").union(alone.select(*unit, "table_id")).distinct()
+    pairs = met.join(d, unit).join(t, file)
     by_header = F.when(F.col("header").isNotNull() & (F.size("header") > 0) & (F.size("names") > 0), header_score(F.col("names"), F.col("header")))
     by_name = F.greatest(jaccard(F.col("full"), F.col("name")), F.when(F.coalesce("label", F.lit("")) != "", jaccard(F.col("label"), F.col("name"))))
     option = lambda rank, when, score, tie: F.when(when, F.struct(F.lit(rank).alias("rank"), score.cast("double").alias("score"), tie.cast("double").alias("tie")))
-    alone = (F.col("units") == 1) & ((F.size(tokens(F.col("full"))) == 0) | (F.col("files") == 1))
+    single = (F.col("units") == 1) & ((F.size(tokens(F.col("full"))) == 0) | (F.col("files") == 1))
     scored = pairs.withColumn("best", F.greatest(
         option(3, F.coalesce(F.array_contains("declared_ids", F.col("table_id")), F.lit(False)), F.lit(1.0), F.lit(0.0)),
         option(2, by_header >= ENOUGH, F.round(by_header, 3), F.lit(0.0)),
         option(1, by_name >= ENOUGH, F.round(by_name, 3), name_score(F.col("full"), F.col("name"))),
-        option(0, alone, F.lit(0.5), F.lit(0.0)),
+        option(0, single, F.lit(0.5), F.lit(0.0)),
     )).where("best is not null")
-    order = Window.partitionBy("dataset", "table_id").orderBy(F.desc("best.rank"), F.desc("best.score"), F.desc("best.tie"), "dict_pos", "part")
-    return scored.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("dataset", "table_id", "dictionary_id", "part", F.element_at(F.array(*map(F.lit, METHODS)), F.col("best.rank") + 1).alias("method"), F.col("best.score").alias("score"))
+    order = Window.partitionBy(*file).orderBy(F.desc("best.rank"), F.desc("best.score"), F.desc("best.tie"), "dict_pos", "part")
+    return scored.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(*file, "dictionary_id", "part", F.element_at(F.array(*map(F.lit, METHODS)), F.col("best.rank") + 1).alias("method"), F.col("best.score").alias("score"))
 
 
 def header_decides(units: Column, any_names: Column, method: Column) -> Column:

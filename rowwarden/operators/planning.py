@@ -74,10 +74,15 @@ def still_there(queued: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def copies(tables: DataFrame) -> DataFrame:
-    """id and copy_of: files of a dataset with the name, declared size and file name of an earlier one (pos)."""
-    same = Window.partitionBy("dataset", "name", "bytes", "file").orderBy("pos")
+    """id and copy_of: files of a dataset with the name, declared size and file name of an earlier one (pos).
+
+    The first of each group is a pre-aggregated minimum, joined back to the group, however many copies there are.
+    """
+    key = ["dataset", "name", "bytes", "file"]
     sized = tables.withColumn("bytes", F.col("size").cast("string").try_cast("bigint")).where("bytes is not null").withColumn("file", basename(F.col("url")))
-    return sized.withColumn("copy_of", F.first("id").over(same)).where("id <> copy_of").select("id", "copy_of")
+    first = sized.groupBy(*key).agg(F.min_by("id", "pos").alias("copy_of"), F.count("*").alias("files")).where("files > 1").drop("files")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    return sized.alias("a").join(first.alias("b"), same).where("id <> copy_of").select("id", "copy_of")
 
 
 def copied_results(validation: DataFrame, copy: DataFrame) -> DataFrame:
