@@ -20,4 +20,5 @@ ORACLE_SQL = {
     "op1_poisson_mixing": mixing.ORACLE_SQL,
     "op4_multi_index_hashing": hamming_search.ORACLE_SQL,
     "op7_perspective_rotation": perspectives.ORACLE_SQL,
+    "op9_token_group_join": jaccard_join.ORACLE_SQL,
 }
