@@ -47,10 +47,22 @@ def with_text_columns(df: DataFrame, text: str, added: T.StructType, make: Calla
             got = work(texts(batch, text, as_bytes))
             arrays = batch.columns + [pa.array(v, k) for v, (_, k) in zip(got, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names + [n for n, _ in kinds])
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: a Python worker may wait a minute for its next one."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def portions(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `size` bytes, so that Python objects are made of little at a time."""
     rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
@@ -58,7 +70,6 @@ def portions(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(lo, rows)
     if not batch.num_rows:
         yield batch
-    pa.default_memory_pool().release_unused()
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -110,6 +121,8 @@ def corpus_counts(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.nd
             add(b, acc)
         for block, packed in partial_counts(acc):
             yield _block(block, packed)
+        del acc
+        give_back()
 
     return add_up(df.mapInArrow(count, "block int, counts binary"), size)
 
@@ -136,6 +149,8 @@ def add_up(parts: DataFrame, size: int) -> np.ndarray:
                 sums[k] = sums[k] + v if k in sums else v
         for k, v in sums.items():
             yield _block(k, _packed(v))
+        sums.clear()
+        give_back()
 
     spread = parts.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(FAN_IN))).mapInArrow(total, parts.schema)
     out = np.zeros(size, np.int64)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from .common import add_up, gram_hashes, partial_counts, plain_names, portions, texts, word_hashes
+from .common import add_up, give_back, gram_hashes, partial_counts, plain_names, portions, texts, word_hashes
 from .components import components
 
 WORDS = 4
@@ -153,7 +153,7 @@ def _signatures(docs: DataFrame, words: int, sketch: int) -> DataFrame:
         from xxhash import xxh3_128_intdigest
 
         names = ["doc_id", "n", "high", "low", "block", "counts"]
-        counts = np.zeros(sketch, np.int64)
+        counts = np.zeros(sketch, np.int32)  # of one task's documents
         for b in (part for whole in batches for part in portions(whole)):
             size, high, low = [], [], []
             for t in texts(b, "text", True):
@@ -168,6 +168,8 @@ def _signatures(docs: DataFrame, words: int, sketch: int) -> DataFrame:
         for block, packed in partial_counts(counts):
             long = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([long, long, long, long, pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=names)
+        del counts
+        give_back()
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, high bigint, low bigint, block int, counts binary")
 
@@ -202,6 +204,9 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, words: int, similar: int,
             if token:
                 cat = lambda v, kind: pa.array(np.concatenate(v).astype(kind))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), cat(part, np.int32), cat(doc, np.int64), cat(count, np.int32), cat(place, np.int32)], names=["token", "part", "doc_id", "n", "place"])
+                del token, part, doc, count, place
+        seen.clear()
+        give_back()
 
     return docs.mapInArrow(run, "token bigint, part int, doc_id bigint, n int, place int")
 
@@ -216,6 +221,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, similar: int, of: i
     def as_set(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in texts(b, "text", True)], pa.binary())], names=["id", "tokens"])
+        give_back()
 
     sets = chosen.mapInArrow(as_set, "id bigint, tokens binary")
 
@@ -224,6 +230,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, similar: int, of: i
             ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similar, of) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+        give_back()
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     rows = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b").select("a", "b", "tokens_a", "tokens_b")
