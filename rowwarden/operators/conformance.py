@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import norm
 from ..functions.types import DATETIME_FORMATS, fits_any_format, fits_format, plain_number
+from ..session import written
 
 MAX_ERROR_RATE = 0.01
 ROWS_KEPT = 5
@@ -96,15 +97,20 @@ def check(cells: DataFrame, contract: DataFrame) -> Checked:
         fields = F.broadcast(fields)
     headers = cells.groupBy("resource_id").agg(F.min_by("header", F.struct("member", "row_no")).alias("header"))
     matches = headers.join(fields, "resource_id").select("resource_id", match_fields(F.transform("fields", lambda f: f["name"]), F.col("header")).alias("m")).select("resource_id", "m.*")
-    rows = cells.join(fields, "resource_id", "left")
+    # which cell each field is in is worked out once a header, not once a row
     header, cleaned = F.col("header"), F.transform("header", norm)
     place = lambda f: F.when(F.array_contains(header, f["name"]), last_place(header, f["name"])).otherwise(last_place(cleaned, norm(f["name"])))
-    placed = rows.withColumn("checks", F.filter(F.transform(F.filter("fields", lambda f: f["type"] != "any"), lambda f: F.struct(place(f).alias("at"), f.alias("f"))), lambda c: c["at"] > 0))
+    checks = F.filter(F.transform(F.filter("fields", lambda f: f["type"] != "any"), lambda f: F.struct(place(f).alias("at"), f.alias("f"))), lambda c: c["at"] > 0)
+    heads = written(cells.select("resource_id", "header").distinct().join(fields, "resource_id").select("resource_id", "header", checks.alias("checks")), "heads")
+    if heads.select(F.explode("checks")).limit(MAX_BROADCAST_FIELDS + 1).count() <= MAX_BROADCAST_FIELDS:
+        heads = F.broadcast(heads)
+    placed = cells.join(heads, ["resource_id", "header"], "left")
     totals = placed.groupBy("resource_id", "member").agg(F.count("*").alias("rows"), F.count_if(F.size("cells") != F.size("header")).alias("ragged_rows"), F.coalesce(F.sum(F.size("checks")), F.lit(0)).cast("bigint").alias("cells_checked"))
     value = lambda c: F.coalesce(F.try_element_at("cells", c["at"]), F.lit(""))
     failing = F.flatten(F.transform("checks", lambda c: F.when(value(c) == "", F.array().cast("array<struct<field:string,kind:string>>")).otherwise(F.transform(failures(value(c), c["f"]), lambda k: F.struct(c["f"]["name"].alias("field"), k.alias("kind"))))))
     single = placed.select("resource_id", "member", "row_no", F.explode(failing).alias("x")).select("resource_id", "member", "row_no", "x.*")
-    return Checked(totals, first_rows(single, ["resource_id", "field", "kind"]), matches)
+    # two aggregates read the failures: cells are checked once, and what failed is written
+    return Checked(totals, first_rows(written(single, "failures"), ["resource_id", "field", "kind"]), matches)
 
 
 def first_rows(failing: DataFrame, key: list[str], keep: int = ROWS_KEPT) -> DataFrame:
