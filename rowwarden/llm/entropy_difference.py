@@ -1,6 +1,6 @@
 """Operator 6: language-model scoring by cross-entropy difference.
 
-Two bigram models, of target text (a bounded sample of rows labelled as good) and of the whole corpus, share one
+Two bigram models, of target text (all rows labelled as good) and of the whole corpus, share one
 vocabulary and one form: P(w | v) = MIX * c(v w) / c(v) + (1 - MIX) * (c(w) + 1) / (N + V). A document's score is the mean,
 over its tokens, of the loss under the target model minus the loss under the background model; the lower, the more
 it is like the target.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import table, written
 from .common import corpus_counts, texts, word_hashes
-from .ngram_ratio import MAX_TARGET_DOCS, good_ids
+from .jaccard_join import MAX_BROADCAST_IDS
 
 CLASSES = 1 << 20
 VOCABULARY = 50_000
@@ -71,12 +71,19 @@ def classes(text: bytes, n: int = CLASSES) -> np.ndarray:
     return (word_hashes(text.lower().split()) & np.uint64(n - 1)).astype(np.int64)
 
 
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_TARGET_DOCS, vocabulary: int = VOCABULARY, frequent: int = FREQUENT, n_classes: int = CLASSES) -> DataFrame:
+def marked(docs: DataFrame, labels: DataFrame, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """text of every row of docs, and good: whether its id is labelled of good quality. Ids are broadcast if they are few."""
+    ids = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("good")).distinct(), "good")
+    few = ids.limit(max_broadcast + 1).count() <= max_broadcast
+    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    return rows if few else written(rows, "marked")  # texts are shuffled once
+
+
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: int = VOCABULARY, frequent: int = FREQUENT, n_classes: int = CLASSES, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means over tokens) and difference for every row of docs."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    marked = F.broadcast(good_ids(labels, max_docs).withColumn("good", F.lit(True)))  # at most max_docs numbers
-    rows = docs.join(marked, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    rows = marked(docs, labels, max_broadcast)
 
     def count_words(batch, acc):
         for t, good in zip(texts(batch, "text", True), batch.column(1).to_pylist(), strict=True):

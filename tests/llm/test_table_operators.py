@@ -165,6 +165,15 @@ def test_entropy_difference_against_brute_force(spark):
     assert entropy_difference.score(df.limit(0), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).count() == 0
 
 
+def test_target_model_counts_all_labelled_rows(spark):
+    df = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id, ' x') AS text")
+    labels = df.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    # every row is target text, so both models are the same one; ids by broadcast, and by shuffle
+    for most in ({}, {"max_broadcast": 10}):
+        got = entropy_difference.score(df, labels, **most)
+        assert got.count() == 20_500 and got.where("difference <> 0").count() == 0
+
+
 def test_every_participant_is_the_assistant_once(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hé"), (1, 2, "bob", "yes"), (1, 2, "bob", "yes"), (1, 3, None, "who"), (1, 4, "ann", None), (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, None, "ann", "x"), (3, 700, "ann", "late")]
     out = perspectives.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
