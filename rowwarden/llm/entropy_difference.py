@@ -5,10 +5,10 @@ vocabulary and one form: P(w | v) = MIX * c(v w) / c(v) + (1 - MIX) * (c(w) + 1)
 over its tokens, of the loss under the target model minus the loss under the background model; the lower, the more
 it is like the target.
 
-Words are lower-cased (A-Z) and split at ASCII white space. The vocabulary is made of hash classes of words: the classes
-of the highest counts over all documents, at most VOCABULARY of them; other words are the unknown word. Bigram counts
-are a table that grows with the corpus. Losses of its most frequent rows (at most FREQUENT, a bound by count) are looked
-up on the executors while texts are read; the others, few of each document, are joined by key.
+Words are lower-cased (A-Z) and split at ASCII white space, and known by 64-bit hashes. Every word of the corpus is in the
+vocabulary, unless a size is given: then words below the highest counts are one unknown word. Counts of words and of
+bigrams are tables that grow with the corpus. The most frequent rows of both (at most FREQUENT each, a bound by count)
+are looked up on the executors; the others, few of each word and document, are joined by key.
 
 Defined results: null text is the empty text, which has no tokens and score 0; without target text its model is the
 uniform one; repeated rows get a row each but share one score, that of all their tokens, if they share an id; rows with
@@ -23,148 +23,163 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from .common import corpus_counts, texts, word_hashes
+from .common import texts, word_hashes
 from .jaccard_join import MAX_BROADCAST_IDS
 
-CLASSES = 1 << 20
-VOCABULARY = 50_000
 MIX = 0.7
 FREQUENT = 1 << 19
 #: Tokens that a task counts at once.
 PORTION = 1 << 21
-UNKNOWN, START = 0, 1
+#: Ids of the start of a text and of the unknown word.
+START, UNKNOWN = 0, 1
+#: A bigram's key is FACTOR times the word before it, plus the word (as 64-bit numbers): of key and word, it gives the word before.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
-class Models:
-    """The vocabulary (class -> word number) and the unigram counts of both models, by word number."""
+def word_ids(text: bytes, known: np.ndarray | None = None) -> np.ndarray:
+    """The id of each word of a whole text; the unknown word's if it isn't one of `known` (sorted)."""
+    ids = word_hashes(text.lower().split()).view(np.int64)
+    return ids if known is None else np.where(found(known, ids)[1], ids, UNKNOWN)
 
-    def __init__(self, number: np.ndarray, target: np.ndarray, background: np.ndarray):
-        self.number, self.target, self.background = number, target, background
-        self.size = len(background)
 
-    @classmethod
-    def of(cls, background: np.ndarray, target: np.ndarray, vocabulary: int = VOCABULARY) -> Models:
-        """From counts of each class; a class is in the vocabulary if its count is above that of the first one left out."""
-        least = int(np.partition(background, -vocabulary - 1)[-vocabulary - 1]) if len(background) > vocabulary else 0
-        chosen = np.flatnonzero(background > least)
-        number = np.zeros(len(background), np.int32)
-        number[chosen] = np.arange(2, len(chosen) + 2)
-        by_number = lambda c: np.concatenate([[c.sum() - c[chosen].sum(), 0], c[chosen]])
-        return cls(number, by_number(target), by_number(background))
+def keys(ids: np.ndarray) -> np.ndarray:
+    """The key of each bigram of a text, that of its start and first word too."""
+    before = np.concatenate([[START], ids[:-1]]).astype(np.int64).view(np.uint64)
+    return (before * np.uint64(FACTOR) + ids.view(np.uint64)).view(np.int64) if len(ids) else ids
 
-    def keys(self, text: bytes) -> np.ndarray:
-        """Each bigram of a whole text as one number: the word before it times the vocabulary, and the word."""
-        w = self.number[classes(text, len(self.number))].astype(np.int64)
-        return np.concatenate([[START], w[:-1]]) * self.size + w if len(w) else w
 
-    def losses(self, keys: np.ndarray, of_target: np.ndarray, of_background: np.ndarray, starts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The loss of each bigram under both models, from its counts. starts: the number of texts of each model."""
-        v, w = np.divmod(keys, self.size)
-        out = []
-        for pair, word, texts_ in ((of_target, self.target, starts[0]), (of_background, self.background, starts[1])):
-            before = np.where(v == START, texts_, word[v])
-            out.append(-np.log(MIX * pair / np.maximum(before, 1) + (1 - MIX) * (word[w] + 1) / (word.sum() + self.size)))
-        return out[0], out[1]
+def found(table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each id in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, ids), max(0, len(table) - 1))
+    return at, table[at] == ids if len(table) else np.zeros(len(ids), bool)
 
 
-def classes(text: bytes, n: int = CLASSES) -> np.ndarray:
-    return (word_hashes(text.lower().split()) & np.uint64(n - 1)).astype(np.int64)
+def counted(rows: DataFrame, split, names: tuple[str, ...], label: str) -> DataFrame:
+    """A written table of how often each key occurs in all rows (n) and in good ones (n_good). split: arrays called `names` of a text, keys first."""
 
-
-def marked(docs: DataFrame, labels: DataFrame, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """text of every row of docs, and good: whether its id is labelled of good quality. Ids are broadcast if they are few."""
-    ids = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("good")).distinct(), "good")
-    few = ids.limit(max_broadcast + 1).count() <= max_broadcast
-    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    return rows if few else written(rows, "marked")  # texts are shuffled once
-
-
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: int = VOCABULARY, frequent: int = FREQUENT, n_classes: int = CLASSES, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means over tokens) and difference for every row of docs."""
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = marked(docs, labels, max_broadcast)
-
-    def count_words(batch, acc):
-        for t, good in zip(texts(batch, "text", True), batch.column(1).to_pylist(), strict=True):
-            at, n = np.unique(classes(t, n_classes), return_counts=True)
-            acc[at] += n
-            acc[2 * n_classes] += len(at) > 0
-            if good:
-                acc[n_classes + at] += n
-                acc[2 * n_classes + 1] += len(at) > 0
-
-    counts = corpus_counts(rows, 2 * n_classes + 2, count_words)
-    starts = (int(counts[-1]), int(counts[-2]))
-    vocab = Models.of(counts[:n_classes], counts[n_classes : 2 * n_classes], vocabulary)
-    shared = sc.broadcast((vocab.number, vocab.target, vocab.background))  # its size is fixed
-
-    def count_pairs(batches):
-        models, waiting, size = Models(*shared.value), [], 0
+    def count(batches):
+        waiting, size = [], 0
 
         def flush():
-            keys = np.concatenate([k for k, _ in waiting])
-            good = np.concatenate([np.full(len(k), g, np.int64) for k, g in waiting])
-            found, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-            of_good = np.bincount(at, good, len(found)).astype(np.int64)
+            parts = [np.concatenate([x[i] for x, _ in waiting]) for i in range(len(names))]
+            good = np.concatenate([np.full(len(x[0]), g, np.int64) for x, g in waiting])
+            key, first, at, n = np.unique(parts[0], return_index=True, return_inverse=True, return_counts=True)
+            of_good = np.bincount(at, good, len(key)).astype(np.int64)
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n), pa.array(of_good)], names=["key", "n", "n_good"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *[x[first] for x in parts[1:]], n, of_good)], names=[*names, "n", "n_good"])
 
         for b in batches:
             for t, good in zip(texts(b, "text", True), b.column(1).to_pylist(), strict=True):
-                waiting.append((models.keys(t), good))
-                size += len(waiting[-1][0])
+                waiting.append((split(t), good))
+                size += len(waiting[-1][0][0])
                 if size >= PORTION:
                     yield flush()
                     size = 0
         if waiting:
             yield flush()
 
-    pairs = rows.mapInArrow(count_pairs, "key bigint, n bigint, n_good bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"))
-    model = written(pairs, "bigrams")
+    parts = rows.mapInArrow(count, ", ".join(f"{c} bigint" for c in (*names, "n", "n_good")))
+    return written(parts.groupBy(names[0]).agg(*[F.first(c).alias(c) for c in names[1:]], F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), label)
+
+
+def most_frequent(df: DataFrame, frequent: int) -> DataFrame:
+    """The rows of df of the highest n, at most `frequent`."""
     # how frequent the frequent ones are: at most 65,536 counts
-    histogram = sorted(((r.at, r.rows) for r in model.groupBy(F.least("n", F.lit(65_535)).alias("at")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    histogram = sorted(((r.at, r.rows) for r in df.groupBy(F.least("n", F.lit(65_535)).alias("at")).agg(F.count("*").alias("rows")).collect()), reverse=True)
     least, room = 65_536, frequent
     for at, n in histogram:
         if n > room:
             break
         least, room = at, room - n
-    top = model.where(F.col("n") >= least).toArrow().sort_by("key")
-    top_keys = top.column("key").to_numpy()
-    top_losses = vocab.losses(top_keys, top.column("n_good").to_numpy(), top.column("n").to_numpy(), starts)
-    hot = sc.broadcast((top_keys, *top_losses))  # at most `frequent` rows
+    return df.where(F.col("n") >= least)
+
+
+def as_arrays(df: DataFrame) -> tuple[np.ndarray, ...]:
+    """The columns of a few rows, sorted by the first."""
+    return tuple(c.to_numpy() for c in df.toArrow().sort_by(df.columns[0]).columns)
+
+
+def marked(docs: DataFrame, labels: DataFrame, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """text of every row of docs, and good: whether its id is labelled of good quality. Ids are broadcast if they are few."""
+    ids = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("good")).distinct(), "good")
+    few = ids.limit(max_broadcast + 1).count() <= max_broadcast
+    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    return rows if few else written(rows, "marked")  # texts are shuffled once
+
+
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: int | None = None, frequent: int = FREQUENT, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means over tokens) and difference for every row of docs."""
+    sc = docs.sparkSession.sparkContext
+    docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = marked(docs, labels, max_broadcast)
+
+    def with_start(t):  # a start for each text that has words
+        ids = word_ids(t)
+        return (np.concatenate([[START], ids]).astype(np.int64) if len(ids) else ids,)
+
+    words, known = counted(rows, with_start, ("word",), "words"), None
+    if vocabulary is not None:
+        highest = [r.n for r in words.where(F.col("word") != START).orderBy(F.desc("n")).limit(vocabulary + 1).select("n").collect()]
+        if len(highest) > vocabulary:
+            chosen = (F.col("word") != START) & (F.col("n") > highest[-1])  # at most `vocabulary` words
+            known = as_arrays(words.where(chosen).select("word"))[0]
+            words = written(words.groupBy(F.when(chosen | (F.col("word") == START), F.col("word")).otherwise(F.lit(UNKNOWN).cast("bigint")).alias("word")).agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), "words")
+    total = words.where(~F.col("word").isin(START)).agg(F.count_if(F.col("word") != UNKNOWN).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_good"), F.lit(0)).alias("n_good")).first()
+    size = total.words + 2  # with the start and the unknown word
+    vocab = sc.broadcast(known)
+    common = sc.broadcast(as_arrays(most_frequent(words, frequent).select("word", "n", "n_good")))  # at most `frequent` rows
+
+    def pairs(t):
+        ids = word_ids(t, vocab.value)
+        return keys(ids), ids
+
+    def fill(batches):
+        """Counts of common words; ids of others."""
+        at_hand, *counts = common.value
+        for b in batches:
+            key, word, n, n_good = (c.to_numpy() for c in b.columns)
+            before = ((key.view(np.uint64) - word.view(np.uint64)) * np.uint64(INVERSE)).view(np.int64)
+            out = [b.column(0), b.column(2), b.column(3)]
+            for ids in (before, word):
+                at, ok = found(at_hand, ids)
+                out += [pa.array(ids, mask=ok)] + [pa.array(c[at] if len(c) else np.zeros(len(ids), np.int64), mask=~ok) for c in counts]
+            yield pa.RecordBatch.from_arrays(out, names=["key", "n", "n_good", "before", "before_n", "before_n_good", "word", "word_n", "word_n_good"])
+
+    filled = written(counted(rows, pairs, ("key", "word"), "pairs").mapInArrow(fill, ", ".join(f"{c} bigint" for c in ("key", "n", "n_good", "before", "before_n", "before_n_good", "word", "word_n", "word_n_good"))), "bigrams")
+    rare = F.col("before").isNotNull() | F.col("word").isNotNull()
+    joined = filled.where(rare)
+    for c in ("before", "word"):  # those at hand have their key instead, which is spread and whose match is not used
+        joined = joined.join(words.select(F.col("word").alias("id"), F.col("n").alias("id_n"), F.col("n_good").alias("id_n_good")), F.coalesce(c, "key") == F.col("id"), "left").withColumns({f"{c}_{k}": F.coalesce(f"{c}_{k}", f"id_{k}") for k in ("n", "n_good")}).drop("id", "id_n", "id_n_good")
+    counts = filled.where(~rare).unionByName(written(joined, "rare"))
+
+    def loss(k, all_words):
+        return -F.log(F.lit(MIX) * F.col(k) / F.greatest(F.col(f"before_{k}"), F.lit(1)) + F.lit(1 - MIX) * (F.col(f"word_{k}") + 1) / F.lit(float(all_words + size)))
+
+    model = counts.select("key", "n", loss("n_good", total.n_good).alias("target_loss"), loss("n", total.n).alias("background_loss"))
+    hot = sc.broadcast(as_arrays(most_frequent(model, frequent).select("key", "target_loss", "background_loss")))  # at most `frequent` rows
 
     def look_up(batches):
-        models, (known, loss_t, loss_b) = Models(*shared.value), hot.value
+        at_hand, loss_t, loss_b = hot.value
         for b in batches:
-            doc, key, count, target, background = [], [], [], [], []
+            doc, key, times, tokens, target, background = [], [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), texts(b, "text", True), strict=True):
-                k, n = np.unique(models.keys(t), return_counts=True)
-                at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
-                ok = known[at] == k if len(known) else np.zeros(len(k), bool)
-                # one row of what is known (with a key that no bigram has), and one of each other bigram
-                doc.append(np.full(1 + (~ok).sum(), i))
+                k, n = np.unique(keys(word_ids(t, vocab.value)), return_counts=True)
+                at, ok = found(at_hand, k)
+                rest = (~ok).sum()
+                # one row of what is at hand (with a key that spreads it, used no times), and one of each other bigram
+                doc.append(np.full(1 + rest, i))
                 key.append(np.concatenate([[-1 - i if i >= 0 else i], k[~ok]]))
-                count.append(np.concatenate([[n.sum()], n[~ok]]))
-                target.append(np.concatenate([[(loss_t[at[ok]] * n[ok]).sum()], np.zeros((~ok).sum())]))
-                background.append(np.concatenate([[(loss_b[at[ok]] * n[ok]).sum()], np.zeros((~ok).sum())]))
+                times.append(np.concatenate([[0], n[~ok]]))
+                tokens.append(np.concatenate([[n.sum()], np.zeros(rest)]))
+                target.append(np.concatenate([[(loss_t[at[ok]] * n[ok]).sum()], np.zeros(rest)]))
+                background.append(np.concatenate([[(loss_b[at[ok]] * n[ok]).sum()], np.zeros(rest)]))
             if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in ((doc, np.int64), (key, np.int64), (count, np.int64), (target, float), (background, float))], names=["doc_id", "key", "times", "target", "background"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in ((doc, np.int64), (key, np.int64), (times, np.int64), (tokens, np.int64), (target, float), (background, float))], names=["doc_id", "key", "times", "tokens", "target", "background"])
 
-    def settle(batches):
-        models = Models(*shared.value)
-        for b in batches:
-            doc, key, times, target, background, n, good = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            own = key < 0
-            t, g = models.losses(np.where(own, 0, key), good, n, starts)
-            tokens, target, background = np.where(own, times, 0), np.where(own, target, t * times), np.where(own, background, g * times)
-            ids, at = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(at, x, len(ids)) for x in (tokens, target, background)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "tokens", "target", "background"])
-
-    asked = docs.where("doc_id is not null").mapInArrow(look_up, "doc_id bigint, key bigint, times bigint, target double, background double")
-    joined = asked.join(model, "key", "left").select("doc_id", "key", "times", "target", "background", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_good", F.lit(0)).alias("n_good"))
-    sums = joined.mapInArrow(settle, "doc_id bigint, tokens bigint, target double, background double").groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    asked = docs.where("doc_id is not null").mapInArrow(look_up, "doc_id bigint, key bigint, times bigint, tokens bigint, target double, background double")
+    total_of = lambda c: F.sum(F.col(c) + F.when(F.col("times") > 0, F.col("times") * F.col(f"{c}_loss")).otherwise(0.0)).alias(c)
+    sums = asked.join(model, "key", "left").groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), total_of("target"), total_of("background"))
     mean = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("n_tokens")), F.lit(0.0)), 9)
     scored = sums.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss")).withColumn("difference", F.round(F.col("target_loss") - F.col("background_loss"), 9))
     return docs.select("doc_id").join(scored, "doc_id", "left")

@@ -174,6 +174,19 @@ def test_target_model_counts_all_labelled_rows(spark):
         assert got.count() == 20_500 and got.where("difference <> 0").count() == 0
 
 
+def test_every_word_is_in_the_vocabulary(spark):
+    # 60,000 words that occur once: more than a vocabulary of fixed size held
+    texts = [" ".join(f"w{i * 100 + k}" for k in range(100)) for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    m, n, size = entropy_difference.MIX, 60_000, 60_002
+    first, rest = -np.log(m / 600 + (1 - m) * 2 / (n + size)), -np.log(m + (1 - m) * 2 / (n + size))
+    got = {r.doc_id: r for r in entropy_difference.score(df, labels, frequent=50).collect()}
+    assert all(r.n_tokens == 100 and r.background_loss == pytest.approx((first + 99 * rest) / 100, abs=1e-8) for r in got.values())
+    assert got[0].target_loss == pytest.approx(-np.log(m + (1 - m) * 2 / (100 + size)), abs=1e-8)
+    assert got[1].target_loss == pytest.approx(-np.log((1 - m) / (100 + size)), abs=1e-8)
+
+
 def test_every_participant_is_the_assistant_once(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hé"), (1, 2, "bob", "yes"), (1, 2, "bob", "yes"), (1, 3, None, "who"), (1, 4, "ann", None), (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, None, "ann", "x"), (3, 700, "ann", "late")]
     out = perspectives.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
