@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import types as Y
 from ..operators import cells as C
 from ..operators import conformance as V
+from ..operators import documents as D
 from ..operators import matching as M
 from ..session import table
 from .common import joined, registry, sql_list, sql_norm, sql_normalise
@@ -141,6 +142,14 @@ def type_findings(spark, sf):
     return texts.select(Y.map_type(F.col("t"))["type"].alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
+@query()
+def type_findings_whole(spark, sf):
+    """documents.type_findings on whole values: parts by brand, and each document as a dictionary of its own. No SQL."""
+    parts = table(spark, sf, "part").select(F.concat(F.lit("part "), "p_brand").alias("dictionary"), F.col("p_type").alias("type"))
+    texts = table(spark, sf, "documents").select(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("dictionary"), F.col("text").alias("type"))
+    return D.type_findings(parts.union(texts), "dictionary").withColumns({"type_spellings": F.to_json("type_spellings"), "unmapped_types": F.to_json("unmapped_types")})
+
+
 @query(_SAMPLE + f"""
 SELECT pos, count(*) FILTER (regexp_matches(value, '{Y.COMMA_DECIMAL}')) > count(*) FILTER (regexp_matches(value, '{Y.DOT_DECIMAL}')) AS comma, CASE WHEN comma AND bool_or(regexp_matches(value, '{Y.GROUPED}')) THEN '.' END AS "groupChar"
 FROM filled WHERE pos IN (6, 7, 9) GROUP BY pos""")

@@ -253,3 +253,15 @@ def test_queries_match_their_sql(spark):
         columns, want = [d[0] for d in con.description], con.fetchall()
         got = QUERIES[name](spark, sf)
         assert sorted(got.columns) == sorted(columns) and got.count() == len(want), name
+
+
+def test_type_findings_of_whole_values(spark, tmp_path):
+    from rowwarden.queries import QUERIES
+
+    late = "palavra " * 6 + "varchar"
+    spark.createDataFrame([("b", "NUMBER(9)"), ("b", "NUMBER(9)"), ("b", "")], "p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, late), (2, "nada " * 10)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.dictionary: r for r in QUERIES["type_findings_whole"](spark, str(tmp_path)).collect()}
+    assert json.loads(got["part b"].type_spellings) == {"": 1, "NUMBER(9)": 2} and got["part b"].fields_untyped == 1
+    assert json.loads(got["document 1"].unmapped_types) == [] and json.loads(got["document 1"].type_spellings) == {late: 1}
+    assert json.loads(got["document 2"].unmapped_types) == [("nada " * 10).strip()]
