@@ -196,6 +196,12 @@ def name_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", joined(F.array_sort(X.tokens(F.left("text", F.lit(300))))).alias("tokens"))
 
 
+@query()
+def name_tokens_whole(spark, sf):
+    """name_tokens of whole texts: no SQL."""
+    return table(spark, sf, "documents").select("doc_id", joined(F.array_sort(X.tokens(F.col("text")))).alias("tokens"))
+
+
 @query(f"""WITH t AS (SELECT n_nationkey, r_regionkey, {_TOKENS("n_name || ' ' || r_name")} AS a, {_TOKENS('r_name')} AS b FROM nation, region)
 SELECT n_nationkey, r_regionkey, CASE WHEN len(list_distinct(a || b)) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END::DOUBLE AS jaccard, CASE WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(b) END::DOUBLE AS name_score FROM t""")
 def jaccard_pairs(spark, sf):

@@ -265,3 +265,12 @@ def test_type_findings_of_whole_values(spark, tmp_path):
     assert json.loads(got["part b"].type_spellings) == {"": 1, "NUMBER(9)": 2} and got["part b"].fields_untyped == 1
     assert json.loads(got["document 1"].unmapped_types) == [] and json.loads(got["document 1"].type_spellings) == {late: 1}
     assert json.loads(got["document 2"].unmapped_types) == [("nada " * 10).strip()]
+
+
+def test_name_tokens_of_whole_texts(spark, tmp_path):
+    from rowwarden.queries import QUERIES
+
+    words = [f"palavra{i}" for i in range(100)]
+    spark.createDataFrame([(1, " ".join(words)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.tokens for r in QUERIES["name_tokens_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: ",".join(sorted(words)), 2: ""}
