@@ -226,8 +226,8 @@ def field_matching(spark, sf):
 @query()
 def similar_names(spark, sf):
     """Greedy and in order: no SQL."""
-    words = table(spark, sf, "part").groupBy("p_brand").agg(F.slice(F.array_sort(F.collect_set("p_type")), 1, 20).alias("types"))
-    return words.select("p_brand", F.to_json(M.similar_names(F.slice("types", 1, 10), F.slice("types", 11, 10))).alias("pairs"))
+    words = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types"), F.array_sort(F.collect_set(F.concat("p_type", F.lit("s")))).alias("altered"))
+    return words.select("p_brand", F.to_json(M.similar_names("types", F.col("altered"))).alias("pairs"))
 
 
 @query()

@@ -274,3 +274,12 @@ def test_name_tokens_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.tokens for r in QUERIES["name_tokens_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: ",".join(sorted(words)), 2: ""}
+
+
+def test_similar_names_of_whole_lists(spark, tmp_path):
+    from rowwarden.queries import QUERIES
+
+    names = [f"{c * 12}" for c in "abcdefghijklmnopqrstuvwxy"]
+    spark.createDataFrame([("b", n) for n in names], "p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = json.loads(QUERIES["similar_names"](spark, str(tmp_path)).first().pairs)
+    assert [(x["declared"], x["column"]) for x in pairs] == [(n, n + "s") for n in names]
