@@ -68,13 +68,13 @@ def cell_text(spark, sf):
 
 def _sample(spark, sf):
     """Columns of many kinds as text: resource_id, pos, row_no, value; the first 5000 rows."""
-    e = table(spark, sf, "events").where(f"event_id < {C.SAMPLE_ROWS}")
+    e = C.with_ordinals(table(spark, sf, "events"), "event_id").where(F.col("row_no") <= C.SAMPLE_ROWS)
     cols = [
         F.col("event_id").cast("string"), F.col("event_type"), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.date_format("ts", "dd/MM/yyyy"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("user_id") % 2 == 0, "S").otherwise("N"),
         F.concat((F.col("event_id") % 1000).cast("string"), F.lit(","), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0")), F.concat((F.col("event_id") % 1000).cast("string"), F.lit(".5")), F.lit(""),
         F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("1."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit(",25"))), F.when(F.col("event_id") % 50 == 0, "not a day").otherwise(F.date_format("ts", "yyyy-MM-dd")),
     ]
-    return e.select(F.lit("events").alias("resource_id"), (F.col("event_id") + 1).alias("row_no"), F.posexplode(F.array(*cols)).alias("pos", "value"))
+    return e.select(F.lit("events").alias("resource_id"), F.col("row_no").cast("bigint").alias("row_no"), F.posexplode(F.array(*cols)).alias("pos", "value"))
 
 
 _SAMPLE = f"""
@@ -115,8 +115,8 @@ def infer_types(spark, sf):
 
 @query(f"""SELECT pos, name, type FROM (VALUES (0, 'event_id', 'integer'), (1, 'a b', 'string'), (2, '_column_3', 'number')) t(pos, name, type)""")
 def observed_header(spark, sf):
-    e = table(spark, sf, "events").where(f"event_id < {C.SAMPLE_ROWS}")
-    rows = e.select(F.lit("r").alias("resource_id"), (F.col("event_id") + 1).alias("row_no"), F.array(F.lit("event_id"), F.lit("a\nb"), F.lit(" \t")).alias("header"), F.array(F.col("event_id").cast("string"), "event_type", F.concat((F.col("event_id") % 9).cast("string"), F.lit(".5"))).alias("cells"))
+    e = C.with_ordinals(table(spark, sf, "events"), "event_id")
+    rows = e.select(F.lit("r").alias("resource_id"), F.col("row_no").cast("bigint").alias("row_no"), F.array(F.lit("event_id"), F.lit("a\nb"), F.lit(" \t")).alias("header"), F.array(F.col("event_id").cast("string"), "event_type", F.concat((F.col("event_id") % 9).cast("string"), F.lit(".5"))).alias("cells"))
     return C.observed_schema(rows).select("pos", "name", "type")
 
 

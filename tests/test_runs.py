@@ -283,3 +283,12 @@ def test_similar_names_of_whole_lists(spark, tmp_path):
     spark.createDataFrame([("b", n) for n in names], "p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     pairs = json.loads(QUERIES["similar_names"](spark, str(tmp_path)).first().pairs)
     assert [(x["declared"], x["column"]) for x in pairs] == [(n, n + "s") for n in names]
+
+
+def test_samples_are_by_ordinal(spark, tmp_path):
+    from rowwarden.queries import QUERIES
+
+    spark.range(9_000, 15_000, 1).selectExpr("id AS event_id", "'a' AS event_type", "id % 10 AS user_id", "timestamp'2024-01-02 03:04:05' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r.pos, r.type) for r in QUERIES["observed_header"](spark, str(tmp_path)).orderBy("pos").collect()] == [(0, "integer"), (1, "string"), (2, "number")]
+    got = {r.pos: r for r in QUERIES["infer_types"](spark, str(tmp_path)).collect()}
+    assert len(got) == 11 and got[0].type == "integer" and got[9].sampleEmptyShare == round(1667 / 5000, 4)
