@@ -130,6 +130,7 @@ class Codec:
         self.value_of = model.value
         self.chars = {model.pieces[i] for i in normal if len(model.pieces[i]) == 1}
         self.arrays = (np.array(self.base), np.array(self.check), np.array([_LOW if g is None else g for g in self.gain]))
+        self.longest = max((len(model.pieces[i].encode()) for i in normal), default=1)
         self.seen: dict[str, bytes] = {}
         self.score_of = np.array(model.scores)
         #: Byte pieces that begin a character.
@@ -215,7 +216,7 @@ class Codec:
             node, j, first = 0, i, raw[i]
             end = i + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
             covered = False
-            for c in raw[i:]:
+            for c in raw[i : i + self.longest]:
                 t = base[node] + c
                 if check[t] != node:
                     break
