@@ -1,8 +1,7 @@
 """Hashed n-gram models of trusted target text and of the raw corpus, shared by operators 2 and 10.
 
-A text's n-grams are its tokens (runs of word characters or of marks) and its pairs of neighbouring tokens. A token
-followed by itself is the one pair "same", whatever the token. N-grams are hashed to a fixed number of buckets; each
-model is the smoothed multinomial over buckets. The raw model counts every whole text; the target model counts the
+A text's n-grams are its tokens (runs of word characters or of marks) and its pairs of neighbouring tokens. N-grams
+are hashed to a fixed number of buckets; each model is the smoothed multinomial over buckets. The raw model counts every whole text; the target model counts the
 texts of a bounded sample of rows labelled as good.
 """
 
@@ -23,16 +22,12 @@ MAX_TARGET_DOCS = 20_000
 #: Added to the count of each bucket.
 SMOOTHING = 1.0
 _TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\x20\x09-\x0d]+")
-_SAME = np.uint64(0x5A17)
 
 
 def grams(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
     """The bucket of each n-gram of the whole text."""
     h = word_hashes(_TOKEN.findall(text))
-    pairs = gram_hashes(h, 2)
-    if len(pairs):
-        pairs[h[1:] == h[:-1]] = _SAME
-    return (mix64(np.concatenate([h, pairs])) & np.uint64(buckets - 1)).astype(np.int64)
+    return (mix64(np.concatenate([h, gram_hashes(h, 2)])) & np.uint64(buckets - 1)).astype(np.int64)
 
 
 def good_ids(labels: DataFrame, max_docs: int = MAX_TARGET_DOCS) -> DataFrame:
