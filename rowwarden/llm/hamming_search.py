@@ -1,14 +1,16 @@
 """Operator 4: exact top-k search of binary codes by incremental multi-index hashing.
 
 A vector's code has a bit for each of its (up to 64) dimensions: whether it is positive. Codes are cut into segments of
-about log2 of their number bits, and each segment has an index. The search of a code looks up, segment by segment, the
-values within radius 0, then 1, 2 and so on of its own, and verifies the full distance of what it finds. After radius r
-every code within s * (r + 1) - 1 is found (s segments: by the pigeonhole principle one of them is within r), so it
-stops once the k-th verified distance is not beyond that.
+even width, about log2 of their number bits; the index is a table of the segments of all codes. In round r the segments
+of the queries that are not finished are looked up, by a join on segment and value, at all values r bits from their own,
+and the full distance of what is found is verified. A pair is found in several segments and rounds but only taken in the
+first, which its two codes tell, so nothing is compared again. After round r every code within s * (r + 1) - 1 is found
+(s segments: by the pigeonhole principle one of them is within r), so a query is finished once its k-th verified distance
+is not beyond that.
 
-Equal codes are one entry with its k + 1 smallest ids, so that a code of very many vectors is no larger than others.
-Entries are dealt to shards of at most SHARD, and query codes to chunks; a task indexes one shard for one chunk, and
-results of shards are merged. Nothing is emitted but the k + 1 best of each query code and shard.
+Equal codes are one entry with its k + 1 smallest ids, so that a code of very many vectors is no larger than others. A
+query keeps the k + 1 nearest entries found so far, and what is farther than the last of them is dropped where it is
+found. Indexes of at most MAX_BROADCAST entries are sent to the executors, others are joined by a shuffle.
 
 Defined results: neighbours go by distance, then id; a vector is not its own neighbour (others of its code are); null
 vectors have no code, are no neighbours and get no rows; null and NaN elements count as not positive; rows of one id
@@ -17,11 +19,8 @@ are one vector for each code they have.
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import ceil, log2
+from math import log2
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +28,10 @@ from ..session import table, written
 
 K = 10
 BITS = 64
-SHARD = 1 << 20
-CHUNK = 2048
+#: Widest segment: a round looks up no more values than a segment has.
+WIDEST = 22
+#: Codes whose segments are sent to every executor.
+MAX_BROADCAST = 1 << 18
 EVERY = 20
 
 
@@ -41,60 +42,40 @@ def code_of(vector: Column) -> Column:
     return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"codes have at most {BITS} bits"))).otherwise(whole)
 
 
-class MultiIndex:
-    """Indexes of the segments of distinct codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        width = min(20, max(4, round(log2(max(2, len(codes))))))
-        self.cuts = [(lo, min(width, BITS - lo)) for lo in range(0, BITS, width)]
-        self.order, self.starts = [], []
-        for lo, w in self.cuts:
-            part = self.segment(codes, lo, w)
-            self.order.append(np.argsort(part, kind="stable"))
-            self.starts.append(np.searchsorted(part[self.order[-1]], np.arange((1 << w) + 1)))
-        self.seen = np.zeros(len(codes), bool)
-        self.masks: dict[tuple[int, int], np.ndarray] = {}
-
-    @staticmethod
-    def segment(codes, lo: int, w: int):
-        return ((codes >> np.uint64(lo)) & np.uint64((1 << w) - 1)).astype(np.int64)
-
-    def mask(self, w: int, r: int) -> np.ndarray:
-        """All values of w bits with r of them set."""
-        if (w, r) not in self.masks:
-            self.masks[w, r] = np.array([sum(1 << b for b in c) for c in combinations(range(w), r)], np.int64)
-        return self.masks[w, r]
-
-    def search(self, query: np.uint64, k: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries, and their distances, among which are the k nearest; an entry counts `weight` times."""
-        found: list[np.ndarray] = []
-        distances: list[np.ndarray] = []
-        tally = np.zeros(BITS + 1, np.int64)  # weight found at each distance
-        for r in range(max(w for _, w in self.cuts) + 1):
-            for (lo, w), order, starts in zip(self.cuts, self.order, self.starts, strict=True):
-                if r > w:
-                    continue
-                at = int(self.segment(query, lo, w)) ^ self.mask(w, r)
-                first, size = starts[at], starts[at + 1] - starts[at]
-                if not (total := int(size.sum())):
-                    continue
-                ends = np.cumsum(size)
-                hits = order[np.repeat(first - ends + size, size) + np.arange(total)]
-                hits = hits[~self.seen[hits]]
-                self.seen[hits] = True
-                found.append(hits)
-                distances.append(np.bitwise_count(self.codes[hits] ^ query).astype(np.int64))
-                np.add.at(tally, distances[-1], weight[hits])
-            covered = len(self.cuts) * (r + 1) - 1
-            if tally[: covered + 1].sum() >= k:
-                break
-        hits = np.concatenate(found) if found else np.zeros(0, np.int64)
-        self.seen[hits] = False
-        return hits, np.concatenate(distances) if distances else hits
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
+def segments(n_codes: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment: as even as can be, none narrower than log2 of the number of codes asks for."""
+    width = min(WIDEST - 1, max(4, round(log2(max(2, n_codes)))))
+    s = BITS // width
+    widths = [BITS // s + (j < BITS % s) for j in range(s)]
+    return [(sum(widths[:j]), w) for j, w in enumerate(widths)]
+
+
+def value(code: Column, lo: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, lo).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def keyed(codes: DataFrame, code: str, cuts: list[tuple[int, int]]) -> DataFrame:
+    """A row for each segment of each code: its number, its width and its key, which holds number and value."""
+    parts = [F.struct(F.lit(j).alias("segment"), F.lit(w).alias("width"), (value(F.col(code), lo, w) + F.lit(j << 32)).alias("key")) for j, (lo, w) in enumerate(cuts)]
+    return codes.withColumn("part", F.explode(F.array(*parts))).select("*", "part.*").drop("part")
+
+
+def candidates(asked: DataFrame, index: DataFrame, cuts: list[tuple[int, int]], radius: int, broadcast: bool = False) -> DataFrame:
+    """Each row of asked (query, bound) with each code that is first found at this radius, and the full distance of both."""
+    masks = None
+    for width in sorted({w for _, w in cuts}):  # at most 2^22 numbers, by their width
+        of = asked.sparkSession.range(1 << width).where(F.bit_count("id") == radius).select(F.col("id").alias("mask"), F.lit(width).alias("width"))
+        masks = of if masks is None else masks.union(of)
+    probes = keyed(asked, "query", cuts).join(F.broadcast(masks), "width").select("query", "bound", "segment", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
+    differs = F.col("query").bitwiseXOR(F.col("code"))
+    distance = F.bit_count(differs)
+    # by distance of the segment, then number: where a pair is first found
+    first = F.least(*[F.bit_count(value(differs, lo, w)) * len(cuts) + j for j, (lo, w) in enumerate(cuts)]) if len(cuts) > 1 else F.bit_count(differs)
+    found = probes.join(F.broadcast(index) if broadcast else index, "key").where(first == F.lit(radius * len(cuts)) + F.col("segment"))
+    return found.select("query", "bound", "code", "first_id", "n_ids", distance.cast("bigint").alias("distance"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """query_id, rank (from 1), neighbor_id and distance: the k nearest of `vectors` for each row of `queries`."""
     coded = lambda df: df.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), code_of(F.col(f"`{vector}`")).alias("code")).where("id is not null and code is not null").distinct()
     # the window's limit is applied in each task before rows of a code meet
@@ -102,32 +83,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "v
     members = coded(vectors).withColumn("rank", rank).where(F.col("rank") <= k + 1)
     entries = written(members.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     asked = written(coded(queries), "queries")
-    wanted = written(asked.select("code").distinct(), "query-codes")
-    shards = max(1, ceil(entries.count() / shard))
-    chunks = max(1, ceil(wanted.count() / chunk))
-    deal = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = entries.select(deal(shards).alias("shard"), every(chunks).alias("chunk"), "code", "ids")
-    right = wanted.select(every(shards).alias("shard"), deal(chunks).alias("chunk"), "code")
-
-    def search(index: pa.Table, ask: pa.Table) -> pa.Table:
-        codes = index.column("code").to_numpy().view(np.uint64)
-        ids = index.column("ids").to_pylist()
-        tree = MultiIndex(codes)
-        weight = np.array([len(x) for x in ids], np.int64)
-        out: list[tuple[int, int, int]] = []
-        for q in ask.column("code").to_pylist():
-            hits, distance = tree.search(np.int64(q).view(np.uint64), k + 1, weight)
-            if len(hits) > k + 1:
-                last = np.partition(distance, k)[k]
-                hits, distance = hits[distance <= last], distance[distance <= last]
-            out += [(q, d, i) for d, i in sorted((d, i) for h, d in zip(hits.tolist(), distance.tolist(), strict=True) for i in ids[h])[: k + 1]]
-        cols = list(zip(*out, strict=True)) if out else ([], [], [])
-        return pa.table({"code": pa.array(cols[0], pa.int64()), "distance": pa.array(cols[1], pa.int64()), "neighbor_id": pa.array(cols[2], pa.int64())})
-
-    per_shard = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInArrow(search, "code bigint, distance bigint, neighbor_id bigint")
-    merged = per_shard if shards == 1 else per_shard.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k + 1).drop("rank")
-    found = asked.join(merged, "code").where("id <> neighbor_id")
+    n = entries.count()
+    cuts, broadcast = segments(n), n <= max_broadcast
+    index = keyed(entries.select("code", F.col("ids")[0].alias("first_id"), F.size("ids").alias("n_ids")), "code", cuts).drop("segment", "width")
+    if not broadcast:
+        index = written(index.repartition("key"), "index")
+
+    open_ones = asked.select(F.col("code").alias("query"), F.lit(BITS).cast("bigint").alias("bound")).distinct()
+    best, finished = None, None
+    order = Window.partitionBy("query").orderBy("distance", "first_id")
+    for radius in range(max(w for _, w in cuts) + 1):
+        found = candidates(open_ones, index, cuts, radius, broadcast).where("distance <= bound").drop("bound")
+        rows = found if best is None else found.unionByName(best)
+        kept = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
+        # ids within what is covered, and how far the last entry is that can matter
+        covered = len(cuts) * (radius + 1) - 1
+        near = F.sum(F.when(F.col("distance") <= covered, F.col("n_ids")).otherwise(0)).over(Window.partitionBy("query"))
+        state = written(kept.withColumn("done", near >= k + 1), "nearest")
+        finished = state.where("done") if finished is None else finished.unionByName(state.where("done"))
+        best = state.where("not done").drop("done")
+        bounds = best.groupBy("query").agg(F.when(F.count("*") > k, F.max("distance")).otherwise(F.lit(BITS)).alias("bound"))
+        started = open_ones.select("query").join(state.where("done").select("query").distinct(), "query", "left_anti")
+        open_ones = written(started.join(bounds, "query", "left").select("query", F.coalesce("bound", F.lit(BITS).cast("bigint")).alias("bound")), "open")
+        if open_ones.isEmpty():
+            break
+    # those never finished have fewer than k + 1 ids to find
+    every = finished.drop("done").unionByName(best)
+    ids = every.join(entries, "code").select(F.col("query").alias("code"), F.explode("ids").alias("neighbor_id"), "distance")
+    found = asked.join(ids, "code").where("id <> neighbor_id")
     order = Window.partitionBy("id", "code").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", "neighbor_id", "distance")
 

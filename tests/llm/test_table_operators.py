@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rowwarden.llm import entropy_difference, hamming_search, jaccard_join, perspectives
 from rowwarden.llm.components import components
@@ -104,21 +105,37 @@ def test_nearest_codes_equal_brute_force(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)] + [(9000, None, 1), (9020, [None, float("nan")] + [1.0] * 62, 1), (None, vectors[0].tolist(), 1), (20, vectors[20].tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank int")
     bits = {i: sum(1 << k for k, x in enumerate(v) if x is not None and x > 0) for i, v, _ in rows if v is not None and i is not None}
-    for shard, chunk in ((1 << 20, 2048), (100, 7)):
-        got = hamming_search.nearest(df, df.where("vec_id % 20 = 0"), k=5, shard=shard, chunk=chunk).collect()
+    for most in (1 << 18, 10):
+        got = hamming_search.nearest(df, df.where("vec_id % 20 = 0"), k=5, max_broadcast=most).collect()
         want = {(q, r + 1, i, d) for q in bits if q % 20 == 0 for r, (d, i) in enumerate(sorted((bin(bits[q] ^ bits[i]).count("1"), i) for i in bits if i != q)[:5])}
         assert {(r.query_id, r["rank"], r.neighbor_id, r.distance) for r in got} == want and len(got) == len(want)
     assert hamming_search.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_index_finds_the_nearest_at_every_size():
-    rng = np.random.default_rng(1)
-    for n in (1, 2, 50, 3000):
-        codes = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        tree = hamming_search.MultiIndex(codes)
-        for q in rng.integers(0, 1 << 63, 5, dtype=np.uint64):
-            hits, distance = tree.search(q, 4, np.ones(len(codes), np.int64))
-            assert sorted(distance)[:4] == sorted(np.bitwise_count(codes ^ q).tolist())[:4] and len(set(hits.tolist())) == len(hits)
+def test_segments_are_even_and_cover_a_code():
+    for n in (0, 1, 2, 50, 2_000, 25_000, 10**6, 10**9):
+        cuts = hamming_search.segments(n)
+        widths = [w for _, w in cuts]
+        assert [lo for lo, _ in cuts] == [sum(widths[:j]) for j in range(len(cuts))] and sum(widths) == 64 and max(widths) - min(widths) <= 1
+
+
+def test_the_index_prunes(spark):
+    # of 25,000 random codes less than a fifth is verified for a query
+    n, k = 25_000, 10
+    entries = spark.range(n).select(F.xxhash64("id").alias("code"), F.col("id").alias("first_id"), F.lit(1).alias("n_ids")).cache()
+    asked = entries.where("first_id % 500 = 0").select(F.col("code").alias("query"), F.lit(64).cast("bigint").alias("bound"))
+    cuts = hamming_search.segments(n)
+    index = hamming_search.keyed(entries, "code", cuts).drop("segment", "width")
+    codes = np.array([r.code for r in entries.collect()]).view(np.uint64)
+    verified = 0
+    last = {int(q): np.sort(np.bitwise_count(codes ^ q))[k] for q in np.array([r["query"] for r in asked.collect()]).view(np.uint64)}
+    for radius in range(max(last.values()) // len(cuts) + 1):
+        todo = [q for q, d in last.items() if d > len(cuts) * radius - 1]
+        rows = spark.createDataFrame([(int(np.uint64(q).view(np.int64)), 64) for q in todo], "query bigint, bound bigint")
+        got = hamming_search.candidates(rows, index, cuts, radius, True)
+        assert got.select("query", "code").distinct().count() == got.count()
+        verified += got.count()
+    assert verified < 0.2 * n * len(last)
 
 
 def test_entropy_difference_against_brute_force(spark):
