@@ -19,6 +19,7 @@ are one vector for each code they have.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,26 +90,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "v
     if not broadcast:
         index = written(index.repartition("key"), "index")
 
-    open_ones = asked.select(F.col("code").alias("query"), F.lit(BITS).cast("bigint").alias("bound")).distinct()
-    best, finished = None, None
-    order = Window.partitionBy("query").orderBy("distance", "first_id")
+    # a row without a code stands for the query itself, behind all it has found
+    itself = [F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("bigint").alias("first_id"), F.lit(0).alias("n_ids"), F.lit(BITS + 1).cast("bigint").alias("distance")]
+    best = asked.select(F.col("code").alias("query")).distinct().select("query", *itself)
+    states = []
+    by_query = Window.partitionBy("query")
     for radius in range(max(w for _, w in cuts) + 1):
+        # how far the last entry is that can matter: what is farther is dropped where it is found
+        open_ones = best.groupBy("query").agg(F.when(F.count("code") > k, F.max(F.when(F.col("code").isNotNull(), F.col("distance")))).otherwise(F.lit(BITS)).alias("bound"))
         found = candidates(open_ones, index, cuts, radius, broadcast).where("distance <= bound").drop("bound")
-        rows = found if best is None else found.unionByName(best)
-        kept = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
-        # ids within what is covered, and how far the last entry is that can matter
+        place = F.row_number().over(by_query.orderBy("distance", "first_id"))
+        kept = found.withColumn("place", place).where(F.col("place") <= k + 1).drop("place").unionByName(best)
+        kept = kept.withColumn("place", place).where((F.col("place") <= k + 1) | F.col("code").isNull()).drop("place")
         covered = len(cuts) * (radius + 1) - 1
-        near = F.sum(F.when(F.col("distance") <= covered, F.col("n_ids")).otherwise(0)).over(Window.partitionBy("query"))
-        state = written(kept.withColumn("done", near >= k + 1), "nearest")
-        finished = state.where("done") if finished is None else finished.unionByName(state.where("done"))
-        best = state.where("not done").drop("done")
-        bounds = best.groupBy("query").agg(F.when(F.count("*") > k, F.max("distance")).otherwise(F.lit(BITS)).alias("bound"))
-        started = open_ones.select("query").join(state.where("done").select("query").distinct(), "query", "left_anti")
-        open_ones = written(started.join(bounds, "query", "left").select("query", F.coalesce("bound", F.lit(BITS).cast("bigint")).alias("bound")), "open")
-        if open_ones.isEmpty():
+        near = F.sum(F.when(F.col("distance") <= covered, F.col("n_ids")).otherwise(0)).over(by_query)
+        states.append(written(kept.withColumn("done", near >= k + 1), "nearest"))
+        best = states[-1].where("not done").drop("done")
+        if best.isEmpty():
             break
     # those never finished have fewer than k + 1 ids to find
-    every = finished.drop("done").unionByName(best)
+    every = reduce(DataFrame.unionByName, [x.where("done").drop("done") for x in states], best).where("code is not null")
     ids = every.join(entries, "code").select(F.col("query").alias("code"), F.explode("ids").alias("neighbor_id"), "distance")
     found = asked.join(ids, "code").where("id <> neighbor_id")
     order = Window.partitionBy("id", "code").orderBy("distance", "neighbor_id")
