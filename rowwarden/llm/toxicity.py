@@ -1,22 +1,27 @@
 """Operator 8: toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the distinct words of a text and the beginnings of those words (as so many insults are word
-families). Its loss has three parts: the log loss on labelled texts; the squared change of the score when the identity
-terms of a labelled text are swapped for other terms of their group, so that a neutral mention of a group does not raise
-the score; and an L1 penalty. Weights are not negative: evidence of toxicity is not outweighed by the rest of a long text.
+families). Its loss has three parts: the log loss on labelled texts; the squared change of a labelled text's logit when
+its identity terms are swapped for other terms of their group, several ways a text, so that a neutral mention does not
+raise the score; and an L1 penalty. Weights are not negative: evidence of toxicity is not outweighed by the rest of a
+long text.
+
+Identity terms: groups given by name, and groups found in the labelled texts. A found term is a word of both classes
+that goes with the toxic label more than chance has it, though most texts that mention it are not toxic; its group has
+up to SPREAD such terms and the neutral words that most share their texts, so swaps stay within a language and a topic.
 
 It learns from a bounded sample: the MAX_TRAIN labelled rows of the lowest hash of their id, none of them held out
 (crc32 of the id as text, modulo 5, is 0). Scoring reads whole texts and nothing else.
 
 Defined results: null text is the empty text, whose score is that of no evidence; a null id counts as held out; several
-labels of one id count as toxic if one is; without labels the score is 0.25; repeated rows get equal scores; input
-columns of the added names are replaced.
+labels of one id count as toxic if one is, and of several texts of one id the first by text is learned from; without
+labels the score is 0.25; repeated rows get equal scores; input columns of the added names are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,14 @@ PREFIXES = (4, 6)
 FOLDS = 5
 #: Weight of the counterfactual part and of the L1 part.
 COUNTERFACTUAL, L1 = 5.0, 3e-4
-STEPS, RATE = 200, 0.3
+STEPS, FIRST_STEPS, RATE, KEPT_MEAN, KEPT_SQUARE = 200, 60, 0.1, 0.9, 0.99
+#: Smaller weights are left out of the model.
+LEAST = 1e-3
 REMEMBERED = 1 << 17
+#: Found terms: least toxic and other texts, least standard deviations above chance; how many terms, and neutral words to choose from.
+MIN_TOXIC, MIN_OTHER, ABOVE_CHANCE, MAX_TERMS, MAX_NEUTRAL = 3, 6, 1.5, 512, 2048
+#: Found terms of a group, and ways to swap a text.
+SPREAD, SWAPS = 3, 2
 #: Groups of identity terms that may stand for each other.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -51,12 +62,16 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("musulmán", "cristiano", "judío", "ateo"),
 )
 _WORD = re.compile(r"\w+")
+Groups = tuple[tuple[str, ...], ...]
 
 
 @dataclass(frozen=True)
 class Classifier:
     bias: float
     weights: dict[int, float]
+    #: Groups whose terms were swapped, and labelled texts that held one of them.
+    groups: Groups = ()
+    n_swapped: int = 0
 
 
 def features(word: str) -> list[int]:
@@ -66,78 +81,180 @@ def features(word: str) -> list[int]:
     return [xxh3_64_intdigest(word), *(xxh3_64_intdigest(word[:k] + "*") for k in PREFIXES if len(word) > k)]
 
 
-def swaps(groups: tuple[tuple[str, ...], ...]) -> dict[str, str]:
-    """Each identity term with the one that takes its place."""
-    return {a: b for g in groups for a, b in zip(g, g[1:] + g[:1], strict=True)}
+def words_of(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
+def swaps(groups: Groups, way: int = 1) -> dict[str, str]:
+    """Each term with the one that takes its place, `way` steps on in its group; a term of several groups is swapped in the first."""
+    out: dict[str, str] = {}
+    for g in groups:
+        for i, term in enumerate(g):
+            out.setdefault(term, g[(i + way) % len(g)])
+    return out
+
+
+def found_groups(docs: list[set[str]], y: np.ndarray, given: Groups = ()) -> Groups:
+    """Groups of terms that go with the toxic label though their mentions are mostly neutral, each with neutral words to stand for them."""
+    n, n_toxic = len(y), float(y.sum())
+    if not 0 < n_toxic < n:
+        return ()
+    flat = pa.array([w for d in docs for w in sorted(d)]).dictionary_encode()
+    word, row = flat.indices.to_numpy(), np.repeat(np.arange(n), [len(d) for d in docs])
+    names = flat.dictionary.to_pylist()
+    toxic = np.bincount(word, y[row], len(names))
+    every = np.bincount(word, minlength=len(names))
+    base = n_toxic / n
+    above = (toxic - base * every) / np.sqrt(every * base * (1 - base))
+    taken = {t for g in given for t in g}
+    free = np.array([w not in taken for w in names])
+    both = free & (toxic >= MIN_TOXIC) & (every - toxic >= MIN_OTHER) & (every * 2 <= n)
+    rank = lambda ok, by: sorted(np.flatnonzero(ok).tolist(), key=lambda i: (-by[i], names[i]))
+    terms = rank(both & (2 * toxic < every) & (above >= ABOVE_CHANCE), above)[:MAX_TERMS]
+    neutral = rank(both & (np.abs(above) <= ABOVE_CHANCE / 2), every)[:MAX_NEUTRAL]
+    if not terms or not neutral:
+        return ()
+
+    def holds(chosen: list[int]) -> np.ndarray:
+        place = np.full(len(names), -1)
+        place[chosen] = np.arange(len(chosen))
+        out = np.zeros((n, len(chosen)), np.float32)
+        ok = place[word] >= 0
+        out[row[ok], place[word[ok]]] = 1
+        return out
+
+    shared = holds(terms).T @ holds(neutral) / np.sqrt(every[neutral])
+    closest = shared.argmax(axis=1)
+    by_neutral: dict[int, list[int]] = {}
+    for t, at in zip(terms, closest.tolist(), strict=True):
+        by_neutral.setdefault(neutral[at], []).append(t)
+    out = []
+    for at, group in sorted(by_neutral.items(), key=lambda x: names[x[0]]):
+        out += [(names[at], *(names[t] for t in group[lo : lo + SPREAD])) for lo in range(0, len(group), SPREAD)]
+    return tuple(out)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def _rows(text: str, swap: dict[str, str]) -> tuple[set[int], set[int]]:
-    """Features of a text, and of the text with its identity terms swapped (equal if it has none)."""
-    words = set(_WORD.findall(text.lower()))
-    own = {f for w in words for f in features(w)}
-    if words.isdisjoint(swap):
-        return own, own
-    return own, {f for w in words for f in features(swap.get(w, w))}
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Classifier:
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[set[str]], np.ndarray]:
+    """The words of the labelled texts to learn from, and whether each is toxic: at most max_train texts."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most max_train pairs of numbers
-    swap = swaps(groups)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # at most max_train pairs of numbers
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("doc_id", "toxic", "text")
 
     def extract(batches):
         for b in batches:
-            own, swapped = zip(*(_rows(t, swap) for t in texts(b, "text")), strict=True) if b.num_rows else ((), ())
-            as_list = lambda sets: pa.array([np.fromiter(s, np.uint64, len(s)).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), as_list(own), as_list([set() if s is o else s for o, s in zip(own, swapped, strict=True)])], names=["toxic", "own", "swapped"])
-
-    got = rows.mapInArrow(extract, "toxic int, own array<bigint>, swapped array<bigint>").toArrow()
-    y = np.array(got.column("toxic").to_pylist(), float)
-    lists = [[np.asarray(x.values.to_numpy()) for x in got.column(c)] for c in ("own", "swapped")]
-    return train(lists[0], lists[1], y)
+            found = [sorted(words_of(t)) for t in texts(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
+
+    got = rows.mapInArrow(extract, "doc_id bigint, toxic int, words array<string>").toArrow().sort_by("doc_id")
+    return [set(x) for x in got.column("words").to_pylist()], np.array(got.column("toxic").to_pylist(), float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups: Groups = IDENTITY_GROUPS, find: bool = True, counterfactual: float = COUNTERFACTUAL) -> Classifier:
+    sample, y = labelled_texts(docs, labels, max_train)
+    return train(sample, y, groups + (found_groups(sample, y, groups) if find else ()), counterfactual)
+
+
+@dataclass
+class Problem:
+    """The loss as sparse matrices: texts by features, and for each swapped text the features it gains and loses."""
+
+    y: np.ndarray
+    names: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    pair: np.ndarray
+    moved: np.ndarray
+    sign: np.ndarray
+    n_pairs: int
+    n_swapped: int
+    counterfactual: float
+
+    def only(self, keep: np.ndarray) -> Problem:
+        """The same loss of some of the features, the others at 0."""
+        place = np.cumsum(keep) - 1
+        own, swap = keep[self.col], keep[self.moved]
+        return replace(self, names=self.names[keep], row=self.row[own], col=place[self.col[own]], pair=self.pair[swap], moved=place[self.moved[swap]], sign=self.sign[swap])
+
+    def loss(self, w: np.ndarray, bias: float) -> float:
+        """The log loss and the counterfactual part, without L1."""
+        s = np.bincount(self.row, w[self.col], len(self.y)) + bias
+        change = np.bincount(self.pair, w[self.moved] * self.sign, self.n_pairs)
+        return float(np.mean(np.logaddexp(0, s) - self.y * s) + self.counterfactual * (change**2).sum() / max(1, self.n_pairs))
+
+    def gradient(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        n = len(self.y)
+        s = np.clip(np.bincount(self.row, w[self.col], n) + bias, -30, 30)
+        e = (1 / (1 + np.exp(-s)) - self.y) / n
+        g = np.bincount(self.col, e[self.row], len(w))
+        if self.n_pairs:
+            change = np.bincount(self.pair, w[self.moved] * self.sign, self.n_pairs)
+            g += 2 * self.counterfactual / self.n_pairs * np.bincount(self.moved, change[self.pair] * self.sign, len(w))
+        return g, float(e.sum())
+
+
+def problem(docs: list[set[str]], y: np.ndarray, groups: Groups, counterfactual: float) -> Problem:
+    known: dict[str, tuple[int, ...]] = {}
+
+    def of(words) -> set[int]:
+        for w in words:
+            if w not in known:
+                known[w] = tuple(features(w))
+        return {f for w in words for f in known[w]}
+
+    ways = [swaps(groups, i + 1) for i in range(SWAPS)]
+    terms = set(ways[0])
+    own = [of(d) for d in docs]
+    as_array = lambda sets: np.concatenate([np.fromiter(s, np.uint64, len(s)) for s in sets] or [np.zeros(0, np.uint64)])
+    names, counts = np.unique(as_array(own), return_counts=True)
+    names = names[counts >= MIN_TEXTS]
 
+    def sparse(sets: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
+        r, v = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), as_array(sets)
+        at = np.minimum(np.searchsorted(names, v), max(0, len(names) - 1))
+        ok = names[at] == v if len(names) else np.zeros(len(v), bool)
+        return r[ok], at[ok]
 
-def train(own: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, counterfactual: float = COUNTERFACTUAL) -> Classifier:
-    """Proximal gradient steps with a rate for each weight. swapped[i] is empty where text i has no identity term."""
+    lost, gained, n_swapped = [], [], 0
+    for d, f in zip(docs, own, strict=True):
+        if d.isdisjoint(terms):
+            continue
+        n_swapped += 1
+        for way in ways:
+            other = of([way.get(w, w) for w in d])
+            if other != f:
+                lost.append(f - other)
+                gained.append(other - f)
+    row, col = sparse(own)
+    (pair_a, at_a), (pair_b, at_b) = sparse(lost), sparse(gained)
+    sign = np.concatenate([np.ones(len(at_a)), -np.ones(len(at_b))])
+    return Problem(y, names, row, col, np.concatenate([pair_a, pair_b]), np.concatenate([at_a, at_b]), sign, len(lost), n_swapped, counterfactual)
+
+
+def train(docs: list[set[str]], y: np.ndarray, groups: Groups = IDENTITY_GROUPS, counterfactual: float = COUNTERFACTUAL) -> Classifier:
+    """Projected steps of a rate for each weight (Adam's), slower and slower. On weights that aren't negative, L1 is a constant slope."""
     n = len(y)
     bias = float(np.log((y.sum() + 0.5) / (n - y.sum() + 1.5)))
     if not 0 < y.sum() < n:
         return Classifier(bias, {})
-    names, counts = np.unique(np.concatenate(own), return_counts=True)
-    names = names[counts >= MIN_TEXTS]
-    if not len(names):
-        return Classifier(bias, {})
-
-    def sparse(lists: list[np.ndarray], rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        r = np.repeat(np.array(rows, np.int64), [len(lists[i]) for i in rows])
-        v = np.concatenate([lists[i] for i in rows] or [np.zeros(0, np.int64)])
-        at = np.minimum(np.searchsorted(names, v), len(names) - 1)
-        ok = names[at] == v
-        return r[ok], at[ok]
-
-    row, col = sparse(own, list(range(n)))
-    changed = [i for i in range(n) if len(swapped[i])]
-    row_a, col_a = sparse(own, changed)
-    row_b, col_b = sparse(swapped, changed)
-    w, past, past_b = np.zeros(len(names)), np.full(len(names), 1e-8), 1e-8
-    for _ in range(STEPS):
-        s = np.clip(np.bincount(row, w[col], n) + bias, -30, 30)
-        e = (1 / (1 + np.exp(-s)) - y) / n
-        g = np.bincount(col, e[row], len(names))
-        if changed:
-            moved = np.bincount(row_a, w[col_a], n) - np.bincount(row_b, w[col_b], n)
-            g += 2 * counterfactual / len(changed) * (np.bincount(col_a, moved[row_a], len(names)) - np.bincount(col_b, moved[row_b], len(names)))
-        past += g * g
-        past_b += e.sum() ** 2
-        step = RATE / np.sqrt(past)
-        w = np.maximum(0, w - step * (g + L1))
-        bias -= RATE / np.sqrt(past_b) * e.sum()
-    return Classifier(float(bias), {int(k): float(v) for k, v in zip(names.view(np.uint64), w, strict=True) if v > 0})
+    p = problem(docs, y, groups, counterfactual)
+    w = np.zeros(len(p.names) + 1)  # the last is the bias
+    w[-1] = bias
+    mean, square = np.zeros(len(w)), np.zeros(len(w))
+    for t in range(1, STEPS + 1) if len(p.names) else ():
+        g, e = p.gradient(w[:-1], w[-1])
+        g = np.append(g + L1, e)
+        mean, square = KEPT_MEAN * mean + (1 - KEPT_MEAN) * g, KEPT_SQUARE * square + (1 - KEPT_SQUARE) * g * g
+        w -= RATE * (1 - (t - 1) / STEPS) * (mean / (1 - KEPT_MEAN**t)) / (np.sqrt(square / (1 - KEPT_SQUARE**t)) + 1e-9)
+        w[:-1] = np.maximum(0, w[:-1])
+        if t == FIRST_STEPS:  # most features are at 0 by now and would rather be below it
+            keep = np.append((w[:-1] > 0) | (mean[:-1] < 0), True)
+            p, w, mean, square = p.only(keep[:-1]), w[keep], mean[keep], square[keep]
+    return Classifier(float(w[-1]), {int(k): float(v) for k, v in zip(p.names, w[:-1], strict=True) if v > LEAST}, groups, p.n_swapped)
 
 
 class Scorer:
@@ -154,7 +271,7 @@ class Scorer:
         self.seen = Seen()
 
     def score(self, text: str) -> float:
-        found = {f: w for hits in map(self.seen.__getitem__, set(_WORD.findall(text.lower()))) if hits for f, w in hits}
+        found = {f: w for hits in map(self.seen.__getitem__, words_of(text)) if hits for f, w in hits}
         s = self.bias + sum(found[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, s)))))
 

@@ -301,30 +301,70 @@ def test_mixing_hits_its_rates(spark, odd):
     assert abs(big.count() - 45000) < 2000
 
 
-def test_toxicity_learns_and_counterfactuals_flatten_identity_terms(spark, odd, labels):
+def test_toxicity_of_held_out_texts_and_gap_of_swapped_ones(spark):
     docs, known = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    model = toxicity.fit(docs, known, max_train=3000)
-    rows = toxicity.score_texts(docs.join(known, "doc_id"), model).where(toxicity.held_out(F.col("doc_id"))).select("toxic", "predicted", "doc_id").collect()
+    sample, y = toxicity.labelled_texts(docs, known)
+    found = toxicity.found_groups(sample, y)
+    assert len(found) > 100 and all(len(set(g)) >= 2 for g in found)
+    plain, model = (toxicity.train(sample, y, toxicity.IDENTITY_GROUPS + found, c) for c in (0.0, toxicity.COUNTERFACTUAL))
+    assert model.n_swapped > len(sample) / 2  # the counterfactual part is at work on these tables
+    rows = toxicity.score_texts(docs.join(known, "doc_id"), model).where(toxicity.held_out(F.col("doc_id"))).select("toxic", "predicted", "score", "text", "doc_id").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
     toxic = [r for r in rows if r.toxic]
-    assert sum(r.predicted for r in toxic) / len(toxic) > 0.85
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.8
     assert sum(r.predicted for r in rows if not r.toxic) / (len(rows) - len(toxic)) < 0.02
+    swap, gaps = toxicity.swaps(found), []
+    for m in (plain, model):
+        score = toxicity.Scorer(m).score
+        texts = [(r.text, " ".join(swap.get(w, w) for w in toxicity.words_of(r.text))) for r in rows if not toxicity.words_of(r.text).isdisjoint(swap)]
+        gaps.append(np.mean([abs(score(a) - score(b)) for a, b in texts]))
+    assert len(texts) > 100 and gaps[1] < gaps[0] / 5
+
+
+def test_toxicity_counterfactuals_flatten_identity_terms():
     # a group term that happens to go with insults in training
     rng = random.Random(1)
     insult, plain, fill = ["idiot", "scum"], ["gay", "lesbian", "straight", "bisexual", "transgender"], [f"w{i}" for i in range(300)]
-    own, swapped, y = [], [], []
-    swap = toxicity.swaps(toxicity.IDENTITY_GROUPS)
+    docs, y = [], []
     for i in range(1200):
         bad = i % 3 == 0
-        words = rng.sample(fill, 12) + ([rng.choice(insult)] if bad else []) + (["gay"] if rng.random() < (0.6 if bad else 0.02) else [])
-        a, b = toxicity._rows(" ".join(words), swap)
-        own.append(np.fromiter(a, np.uint64).view(np.int64))
-        swapped.append(np.fromiter(b if b is not a else [], np.uint64).view(np.int64))
+        docs.append({*rng.sample(fill, 12), *([rng.choice(insult)] if bad else []), *(["gay"] if rng.random() < (0.6 if bad else 0.02) else [])})
         y.append(float(bad))
     mention = f"{plain[0]} w1 w2"
-    scores = [toxicity.Scorer(toxicity.train(own, swapped, np.array(y), c)).score(mention) for c in (0.0, toxicity.COUNTERFACTUAL)]
+    scores = [toxicity.Scorer(toxicity.train(docs, np.array(y), toxicity.IDENTITY_GROUPS, c)).score(mention) for c in (0.0, toxicity.COUNTERFACTUAL)]
     assert scores[1] < scores[0] and scores[1] < 0.5
-    got = toxicity.score_texts(odd, toxicity.fit(odd, labels)).collect()
+
+
+def test_toxicity_score_gradient_and_groups_against_brute_force():
+    rng = random.Random(2)
+    words = [f"{a}{b}ing" for a in "abcd" for b in "uvwxyz"]
+    docs = [set(rng.sample(words, rng.randrange(1, 9))) for _ in range(80)]
+    y = np.array([float("auing" in d or rng.random() < 0.2) for d in docs])
+    groups = (("auing", "buing", "cuing"), ("dxing", "dying"))
+    p = toxicity.problem(docs, y, groups, 3.0)
+    w, bias = np.random.default_rng(1).uniform(0, 1, len(p.names)), -0.7
+    of = dict(zip(p.names.tolist(), w, strict=True))
+    logit = lambda d: bias + sum(of.get(f, 0.0) for f in {f for x in d for f in toxicity.features(x)})
+    change = [(logit(d) - logit({s.get(x, x) for x in d})) ** 2 for d in docs for s in (toxicity.swaps(groups, 1), toxicity.swaps(groups, 2)) if {s.get(x, x) for x in d} != d]
+    log_loss = np.mean([np.log1p(np.exp(logit(d))) - t * logit(d) for d, t in zip(docs, y, strict=True)])
+    assert p.n_swapped == sum(not d.isdisjoint(sum(groups, ())) for d in docs) and p.n_pairs == len(change)
+    assert p.loss(w, bias) == pytest.approx(log_loss + 3.0 * sum(change) / len(change))
+    g, e = p.gradient(w, bias)
+    for j in range(len(w)):  # finite differences
+        step = np.eye(len(w))[j] * 1e-6
+        assert g[j] == pytest.approx((p.loss(w + step, bias) - p.loss(w - step, bias)) / 2e-6, abs=1e-6)
+    assert e == pytest.approx((p.loss(w, bias + 1e-6) - p.loss(w, bias - 1e-6)) / 2e-6, abs=1e-6)
+    model = toxicity.Classifier(bias, {k: v for k, v in of.items()})
+    for d in docs[:20]:
+        assert toxicity.Scorer(model).score(" ".join(d)) == pytest.approx(1 / (1 + np.exp(-logit(d))))
+    assert toxicity.found_groups(docs, np.zeros(80)) == () and toxicity.swaps((("a", "b"),), 2) == {"a": "a", "b": "b"}
+
+
+def test_toxicity_of_odd_rows(spark, odd, labels):
+    got = toxicity.score_texts(odd.withColumn("score", F.lit("mine")).withColumn("PREDICTED", F.lit("mine")), toxicity.fit(odd, labels)).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    assert toxicity.fit(odd, labels.limit(0)).weights == {}
-    assert toxicity.score_texts(empty(spark), model).count() == 0
+    none = toxicity.fit(odd, labels.limit(0))
+    assert none.weights == {}
+    assert toxicity.score_texts(empty(spark), none).count() == 0
+    repeated = spark.createDataFrame([(1, f"t{i}") for i in range(50)], "doc_id bigint, text string")
+    assert len(toxicity.labelled_texts(repeated, labels)[0]) == 1
