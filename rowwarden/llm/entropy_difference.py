@@ -1,52 +1,67 @@
 """Operator 6: language-model scoring by cross-entropy difference.
 
-Two bigram models, of target text (all rows labelled as good) and of the whole corpus, share one
-vocabulary and one form: P(w | v) = MIX * c(v w) / c(v) + (1 - MIX) * (c(w) + 1) / (N + V). A document's score is the mean,
-over its tokens, of the loss under the target model minus the loss under the background model; the lower, the more
-it is like the target.
-
-Words are lower-cased (A-Z) and split at ASCII white space, and known by 64-bit hashes. Every word of the corpus is in the
-vocabulary, unless a size is given: then words below the highest counts are one unknown word. Counts of words and of
-bigrams are tables that grow with the corpus. The most frequent rows of both (at most FREQUENT each, a bound by count)
-are looked up on the executors; the others, few of each word and document, are joined by key.
-
-Defined results: null text is the empty text, which has no tokens and score 0; without target text its model is the
-uniform one; repeated rows get a row each but share one score, that of all their tokens, if they share an id; rows with
-a null id get null losses.
+Two bigram models, of target text (all rows labelled as good) and of the whole corpus, share one vocabulary and one form:
+P(w | v) = MIX * c(v w) / c(v) + (1 - MIX) * (c(w) + 1) / (N + V). Every document is scored by the models of all other
+documents: its own counts are left out of both. Its score is the mean, over its tokens, of the loss under the target
+model minus the loss under the background model; the lower, the more it is like the target.
+
+Words are lower-cased (A-Z) and split at ASCII white space, and known by 64-bit hashes; every word of the corpus is in
+the vocabulary. What is counted grows with the corpus and stays on the executors:
+
+1. Words of all documents are counted in a table, and so are bigrams that are frequent in a sample of documents. The
+   most frequent words (at most FREQUENT) and those bigrams are broadcast with their counts.
+2. Every other word and bigram of a document goes, with how often the document has it, to the block of its hash. There it
+   is counted, and what other documents have as well goes back to the document. Most bigrams occur in one document only
+   and never come back.
+3. Documents meet what came back and are scored.
+
+The sample only decides which of the two ways a count takes, not the result.
+
+Defined results: null text is the empty text, which has no tokens and score 0; without other target text the target model
+is the uniform one; rows of one id are documents of their own, whose text is target text if the id is labelled good;
+repeated rows get a row each and equal scores, and count for each other; rows with a null id are scored too; columns other
+than id and text are left out.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, written
-from .common import texts, word_hashes
+from ..session import small_batches, table, written
+from .common import give_back, portions, texts, word_hashes
 from .jaccard_join import MAX_BROADCAST_IDS
 
 MIX = 0.7
+#: Words, and bigrams, whose counts are sent to every executor, at most.
 FREQUENT = 1 << 19
-#: Tokens that a task counts at once.
-PORTION = 1 << 21
-#: Ids of the start of a text and of the unknown word.
-START, UNKNOWN = 0, 1
-#: A bigram's key is FACTOR times the word before it, plus the word (as 64-bit numbers): of key and word, it gives the word before.
+#: Documents looked at for frequent bigrams, and how many of them have such a one at least.
+SAMPLE, LEAST = 8_000, 4
+#: Tokens that a task counts at once; bytes of text for each block of hashes and each group of documents.
+PORTION, BLOCK = 1 << 21, 16 << 20
+#: Id of the start of a text (not 0: a bigram's key must not be that of its second word).
+START = 0x5374617274
+#: A bigram's key is FACTOR times the word before it, plus the word (as 64-bit numbers).
 FACTOR = 0x9E3779B97F4A7C15
-INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
-def word_ids(text: bytes, known: np.ndarray | None = None) -> np.ndarray:
-    """The id of each word of a whole text; the unknown word's if it isn't one of `known` (sorted)."""
-    ids = word_hashes(text.lower().split()).view(np.int64)
-    return ids if known is None else np.where(found(known, ids)[1], ids, UNKNOWN)
+def word_ids(text: bytes) -> np.ndarray:
+    """The id of each word of a whole text."""
+    return word_hashes(text.lower().split()).view(np.int64)
 
 
-def keys(ids: np.ndarray) -> np.ndarray:
-    """The key of each bigram of a text, that of its start and first word too."""
-    before = np.concatenate([[START], ids[:-1]]).astype(np.int64).view(np.uint64)
-    return (before * np.uint64(FACTOR) + ids.view(np.uint64)).view(np.int64) if len(ids) else ids
+def items(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: its words with the start, and their counts; its bigrams, their counts, and the places of both their words among the words."""
+    if not len(ids):
+        return (ids,) * 6
+    words, at, n = np.unique(np.concatenate([[START], ids]).astype(np.int64), return_inverse=True, return_counts=True)
+    before = words[at[:-1]].view(np.uint64) * np.uint64(FACTOR)
+    pairs, first, times = np.unique((before + ids.view(np.uint64)).view(np.int64), return_index=True, return_counts=True)
+    return words, n, pairs, times, at[first], at[first + 1]
 
 
 def found(table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,32 +70,42 @@ def found(table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == ids if len(table) else np.zeros(len(ids), bool)
 
 
-def counted(rows: DataFrame, split, names: tuple[str, ...], label: str) -> DataFrame:
-    """A written table of how often each key occurs in all rows (n) and in good ones (n_good). split: arrays called `names` of a text, keys first."""
+def marked(docs: DataFrame, labels: DataFrame, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """doc (a hash of id and text), text and good (whether the id is labelled of good quality) of every row. Ids are broadcast if they are few."""
+    ids = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("good")).distinct(), "good")
+    few = ids.limit(max_broadcast + 1).count() <= max_broadcast
+    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("doc", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    return rows if few else written(rows, "marked")  # texts are shuffled once
+
+
+def counted(rows: DataFrame, of) -> DataFrame:
+    """How often each item occurs in all rows (n), in good ones (n_good), and whether it is a word. of: items, counts and their kind of a text's ids."""
+    small_batches(rows.sparkSession)
 
     def count(batches):
         waiting, size = [], 0
 
         def flush():
-            parts = [np.concatenate([x[i] for x, _ in waiting]) for i in range(len(names))]
-            good = np.concatenate([np.full(len(x[0]), g, np.int64) for x, g in waiting])
-            key, first, at, n = np.unique(parts[0], return_index=True, return_inverse=True, return_counts=True)
-            of_good = np.bincount(at, good, len(key)).astype(np.int64)
+            item, n, word = (np.concatenate([x[i] for x, _ in waiting]) for i in range(3))
+            good = np.concatenate([np.full(len(x[0]), g) for x, g in waiting])
+            key, first, at = np.unique(item, return_index=True, return_inverse=True)
+            sums = [np.bincount(at, c, len(key)).astype(np.int64) for c in (n, n * good)]
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *[x[first] for x in parts[1:]], n, of_good)], names=[*names, "n", "n_good"])
+            return pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums), pa.array(word[first])], names=["item", "n", "n_good", "word"])
 
-        for b in batches:
+        for b in (part for whole in batches for part in portions(whole)):
             for t, good in zip(texts(b, "text", True), b.column(1).to_pylist(), strict=True):
-                waiting.append((split(t), good))
+                waiting.append((of(word_ids(t)), good))
                 size += len(waiting[-1][0][0])
                 if size >= PORTION:
                     yield flush()
                     size = 0
         if waiting:
             yield flush()
+        give_back()
 
-    parts = rows.mapInArrow(count, ", ".join(f"{c} bigint" for c in (*names, "n", "n_good")))
-    return written(parts.groupBy(names[0]).agg(*[F.first(c).alias(c) for c in names[1:]], F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), label)
+    parts = rows.select("text", "good").mapInArrow(count, "item bigint, n bigint, n_good bigint, word boolean")
+    return parts.groupBy("item").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"), F.first("word").alias("word"))
 
 
 def most_frequent(df: DataFrame, frequent: int) -> DataFrame:
@@ -100,89 +125,136 @@ def as_arrays(df: DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(c.to_numpy() for c in df.toArrow().sort_by(df.columns[0]).columns)
 
 
-def marked(docs: DataFrame, labels: DataFrame, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """text of every row of docs, and good: whether its id is labelled of good quality. Ids are broadcast if they are few."""
-    ids = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("good")).distinct(), "good")
-    few = ids.limit(max_broadcast + 1).count() <= max_broadcast
-    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    return rows if few else written(rows, "marked")  # texts are shuffled once
+def frequent_bigrams(rows: DataFrame, n_rows: int, frequent: int, sample: int, least: int) -> np.ndarray:
+    """Sorted keys of bigrams of a sample of about `sample` documents, by hash."""
+
+    def bigrams(ids):
+        _, _, pairs, _, _, _ = items(ids)
+        return pairs, np.ones(len(pairs), np.int64), np.zeros(len(pairs), bool)
 
+    some = rows.where(F.pmod("doc", F.lit(max(1, n_rows // max(1, sample)))) == 0)
+    seen = written(counted(some, bigrams).where(F.col("n") >= least), "frequent")
+    return as_arrays(most_frequent(seen, frequent).select("item"))[0]
 
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: int | None = None, frequent: int = FREQUENT, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+
+def others(rows: DataFrame, at_hand, blocks: int) -> DataFrame:
+    """doc, item, n and n_good of each item of a document that is not at hand and that other rows have too: their counts."""
+
+    def deal(batches):
+        """An array of items for each block of a portion of documents, with the documents they belong to."""
+        known = at_hand.value[0]
+        waiting, size = [], 0
+
+        def flush():
+            item, own = (np.concatenate([x[i] for x in waiting]) for i in (2, 3))
+            row = np.repeat(np.arange(len(waiting)), [len(x[2]) for x in waiting])
+            doc, good = np.array([x[0] for x in waiting], np.int64), np.array([x[1] for x in waiting], np.uint8)
+            block = (item.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            item, own, row, block = item[order], own[order].astype(np.uint32), row[order], block[order]
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+            waiting.clear()
+            out = []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(block)]):
+                of, n = np.unique(row[lo:hi], return_counts=True)
+                out.append((int(block[lo]), item[lo:hi].tobytes(), own[lo:hi].tobytes(), doc[of].tobytes(), good[of].tobytes(), n.astype(np.uint32).tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(6)]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "item", "own", "doc", "good", "n"])
+
+        for b in (part for whole in batches for part in portions(whole)):
+            for doc, t, good in zip(b.column(0).to_pylist(), texts(b, "text", True), b.column(2).to_pylist(), strict=True):
+                words, n, pairs, times, _, _ = items(word_ids(t))
+                item, own = np.concatenate([words, pairs]), np.concatenate([n, times])
+                rare = ~found(known, item)[1]
+                waiting.append((doc, good, item[rare], own[rare]))
+                size += int(rare.sum())
+                if size >= PORTION:
+                    yield flush()
+                    size = 0
+        if waiting:
+            yield flush()
+        give_back()
+
+    def meet(block: pa.Table) -> pa.Table:
+        part = lambda c, kind: np.frombuffer(b"".join(block.column(c).to_pylist()), kind)
+        item, own, n = part("item", np.int64), part("own", np.uint32).astype(np.int64), part("n", np.uint32)
+        doc, good = np.repeat(part("doc", np.int64), n), np.repeat(part("good", np.uint8), n).astype(np.int64)
+        order = np.argsort(item, kind="stable")
+        item, own, doc = item[order], own[order], doc[order]
+        own_good = own * good[order]
+        first = np.concatenate([[True], item[1:] != item[:-1]])
+        at = np.cumsum(first) - 1
+        rest, rest_good = (np.add.reduceat(c, np.flatnonzero(first))[at] - c for c in (own, own_good))
+        some = rest > 0
+        return pa.table({"doc": doc[some], "item": item[some], "n": rest[some], "n_good": rest_good[some]})
+
+    dealt = rows.select("doc", "text", "good").mapInArrow(deal, "block int, item binary, own binary, doc binary, good binary, n binary")
+    return dealt.groupBy("block").applyInArrow(meet, "doc bigint, item bigint, n bigint, n_good bigint")
+
+
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", frequent: int = FREQUENT, sample: int = SAMPLE, least: int = LEAST, block: int = BLOCK, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means over tokens) and difference for every row of docs."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
     rows = marked(docs, labels, max_broadcast)
-
-    def with_start(t):  # a start for each text that has words
-        ids = word_ids(t)
-        return (np.concatenate([[START], ids]).astype(np.int64) if len(ids) else ids,)
-
-    words, known = counted(rows, with_start, ("word",), "words"), None
-    if vocabulary is not None:
-        highest = [r.n for r in words.where(F.col("word") != START).orderBy(F.desc("n")).limit(vocabulary + 1).select("n").collect()]
-        if len(highest) > vocabulary:
-            chosen = (F.col("word") != START) & (F.col("n") > highest[-1])  # at most `vocabulary` words
-            known = as_arrays(words.where(chosen).select("word"))[0]
-            words = written(words.groupBy(F.when(chosen | (F.col("word") == START), F.col("word")).otherwise(F.lit(UNKNOWN).cast("bigint")).alias("word")).agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), "words")
-    total = words.where(~F.col("word").isin(START)).agg(F.count_if(F.col("word") != UNKNOWN).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_good"), F.lit(0)).alias("n_good")).first()
-    size = total.words + 2  # with the start and the unknown word
-    vocab = sc.broadcast(known)
-    common = sc.broadcast(as_arrays(most_frequent(words, frequent).select("word", "n", "n_good")))  # at most `frequent` rows
-
-    def pairs(t):
-        ids = word_ids(t, vocab.value)
-        return keys(ids), ids
-
-    def fill(batches):
-        """Counts of common words; ids of others."""
-        at_hand, *counts = common.value
-        for b in batches:
-            key, word, n, n_good = (c.to_numpy() for c in b.columns)
-            before = ((key.view(np.uint64) - word.view(np.uint64)) * np.uint64(INVERSE)).view(np.int64)
-            out = [b.column(0), b.column(2), b.column(3)]
-            for ids in (before, word):
-                at, ok = found(at_hand, ids)
-                out += [pa.array(ids, mask=ok)] + [pa.array(c[at] if len(c) else np.zeros(len(ids), np.int64), mask=~ok) for c in counts]
-            yield pa.RecordBatch.from_arrays(out, names=["key", "n", "n_good", "before", "before_n", "before_n_good", "word", "word_n", "word_n_good"])
-
-    filled = written(counted(rows, pairs, ("key", "word"), "pairs").mapInArrow(fill, ", ".join(f"{c} bigint" for c in ("key", "n", "n_good", "before", "before_n", "before_n_good", "word", "word_n", "word_n_good"))), "bigrams")
-    rare = F.col("before").isNotNull() | F.col("word").isNotNull()
-    joined = filled.where(rare)
-    for c in ("before", "word"):  # those at hand have their key instead, which is spread and whose match is not used
-        joined = joined.join(words.select(F.col("word").alias("id"), F.col("n").alias("id_n"), F.col("n_good").alias("id_n_good")), F.coalesce(c, "key") == F.col("id"), "left").withColumns({f"{c}_{k}": F.coalesce(f"{c}_{k}", f"id_{k}") for k in ("n", "n_good")}).drop("id", "id_n", "id_n_good")
-    counts = filled.where(~rare).unionByName(written(joined, "rare"))
-
-    def loss(k, all_words):
-        return -F.log(F.lit(MIX) * F.col(k) / F.greatest(F.col(f"before_{k}"), F.lit(1)) + F.lit(1 - MIX) * (F.col(f"word_{k}") + 1) / F.lit(float(all_words + size)))
-
-    model = counts.select("key", "n", loss("n_good", total.n_good).alias("target_loss"), loss("n", total.n).alias("background_loss"))
-    hot = sc.broadcast(as_arrays(most_frequent(model, frequent).select("key", "target_loss", "background_loss")))  # at most `frequent` rows
-
-    def look_up(batches):
-        at_hand, loss_t, loss_b = hot.value
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, ceil(size.bytes / block))
+
+    common = sc.broadcast(frequent_bigrams(rows, size.rows, frequent, sample, least))  # at most `frequent` keys
+
+    def words_and_common(ids):
+        words, n, pairs, times, _, _ = items(ids)
+        ok = found(common.value, pairs)[1]
+        return np.concatenate([words, pairs[ok]]), np.concatenate([n, times[ok]]), np.arange(len(words) + int(ok.sum())) < len(words)
+
+    counts = written(counted(rows, words_and_common), "counts")
+    is_word = F.col("word") & (F.col("item") != START)
+    total = counts.where(is_word).agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_good"), F.lit(0)).alias("n_good")).first()
+    everywhere = most_frequent(counts.where("word"), frequent).unionByName(counts.where("not word")).select("item", "n", "n_good")
+    at_hand = sc.broadcast(as_arrays(everywhere))  # at most twice `frequent` rows
+    n_words, n_all, n_good = total.words + 1, total.n, total.n_good  # with the unknown word
+
+    def once(batches):
+        """Each row's text, but of equal rows in a task one."""
+        seen: set[int] = set()
         for b in batches:
-            doc, key, times, tokens, target, background = [], [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), texts(b, "text", True), strict=True):
-                k, n = np.unique(keys(word_ids(t, vocab.value)), return_counts=True)
-                at, ok = found(at_hand, k)
-                rest = (~ok).sum()
-                # one row of what is at hand (with a key that spreads it, used no times), and one of each other bigram
-                doc.append(np.full(1 + rest, i))
-                key.append(np.concatenate([[-1 - i if i >= 0 else i], k[~ok]]))
-                times.append(np.concatenate([[0], n[~ok]]))
-                tokens.append(np.concatenate([[n.sum()], np.zeros(rest)]))
-                target.append(np.concatenate([[(loss_t[at[ok]] * n[ok]).sum()], np.zeros(rest)]))
-                background.append(np.concatenate([[(loss_b[at[ok]] * n[ok]).sum()], np.zeros(rest)]))
-            if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in ((doc, np.int64), (key, np.int64), (times, np.int64), (tokens, np.int64), (target, float), (background, float))], names=["doc_id", "key", "times", "tokens", "target", "background"])
-
-    asked = docs.where("doc_id is not null").mapInArrow(look_up, "doc_id bigint, key bigint, times bigint, tokens bigint, target double, background double")
-    total_of = lambda c: F.sum(F.col(c) + F.when(F.col("times") > 0, F.col("times") * F.col(f"{c}_loss")).otherwise(0.0)).alias(c)
-    sums = asked.join(model, "key", "left").groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), total_of("target"), total_of("background"))
-    mean = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("n_tokens")), F.lit(0.0)), 9)
-    scored = sums.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss")).withColumn("difference", F.round(F.col("target_loss") - F.col("background_loss"), 9))
-    return docs.select("doc_id").join(scored, "doc_id", "left")
+            keep = [not (d in seen or seen.add(d)) for d in b.column(0).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    def losses(whole: pa.Table, back: pa.Table) -> pa.Table:
+        known, *known_n = at_hand.value
+        back = back.sort_by([("doc", "ascending"), ("item", "ascending")])
+        b_doc, b_item, *b_n = (back.column(c).to_numpy() for c in ("doc", "item", "n", "n_good"))
+        out, seen = [], set()
+        for doc, t, good in zip(whole.column("doc").to_pylist(), whole.column("text").to_pylist(), whole.column("good").to_pylist(), strict=True):
+            if doc in seen:
+                continue
+            seen.add(doc)
+            words, n, pairs, times, before, after = items(word_ids((t or "").encode()))
+            lo, hi = np.searchsorted(b_doc, doc, "left"), np.searchsorted(b_doc, doc, "right")
+            item, own = np.concatenate([words, pairs]), np.concatenate([n, times])
+            at, ok = found(known, item)
+            at_back, ok_back = found(b_item[lo:hi], item)
+            tokens = int(times.sum())
+            row = [doc, tokens]
+            for counts_of, from_back, mine, total_n in ((known_n[1], b_n[1], good, n_good), (known_n[0], b_n[0], True, n_all)):
+                c = np.where(ok_back, from_back[lo:hi][at_back] if hi > lo else 0, 0)
+                if len(known):
+                    c = np.where(ok, counts_of[at] - (own if mine else 0), c)
+                of_word, of_pair = c[: len(words)], c[len(words) :]
+                p = MIX * of_pair / np.maximum(1, of_word[before]) + (1 - MIX) * (of_word[after] + 1) / (total_n - (tokens if mine else 0) + n_words)
+                row.append(float(-(np.log(p) * times).sum() / max(1, tokens)))
+            out.append(row)
+        cols = list(zip(*out, strict=True)) if out else [[] for _ in range(4)]
+        return pa.table({"doc": pa.array(cols[0], pa.int64()), "n_tokens": pa.array(cols[1], pa.int64()), "target": pa.array(cols[2], pa.float64()), "background": pa.array(cols[3], pa.float64())})
+
+    group = F.pmod("doc", F.lit(blocks)).cast("int").alias("part")
+    whole = rows.select("doc", "text", "good").mapInArrow(once, "doc bigint, text string, good boolean").select(group, "*")
+    back = others(rows, at_hand, blocks).select(group, "*")
+    scored = whole.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(losses, "doc bigint, n_tokens bigint, target double, background double")
+    scored = scored.select("doc", "n_tokens", F.round("target", 9).alias("target_loss"), F.round("background", 9).alias("background_loss"))
+    return docs.select("doc_id", "doc").join(scored, "doc", "left").select("doc_id", "n_tokens", "target_loss", "background_loss", F.round(F.col("target_loss") - F.col("background_loss"), 9).alias("difference"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

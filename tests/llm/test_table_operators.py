@@ -138,48 +138,59 @@ def test_the_index_prunes(spark):
     assert verified < 0.2 * n * len(last)
 
 
-def test_entropy_difference_against_brute_force(spark):
+def entropy_by_brute_force(docs, good):
+    """Losses of each row under bigram models of all other rows, in plain Python."""
+    split = [(i in good, (t or "").lower().split()) for i, t in docs]
+    size = len({w for _, ws in split for w in ws}) + 1
+    m = entropy_difference.MIX
+
+    def count(which):
+        uni, pair = defaultdict(int), defaultdict(int)
+        for g, ws in split:
+            if g or not which:
+                uni["^"] += bool(ws)
+                for x, y in zip(["^", *ws], ws):
+                    pair[x, y] += 1
+                    uni[y] += 1
+        return uni, pair, sum(n for w, n in uni.items() if w != "^")
+
+    models = [count(True), count(False)]
+    out = []
+    for g, ws in split:
+        row = []
+        for which, (uni, pair, total) in zip((True, False), models):
+            own = g or not which
+            has_uni = defaultdict(int, {w: ws.count(w) for w in set(ws)} | {"^": int(bool(ws))})
+            steps = list(zip(["^", *ws], ws))
+            mine = lambda c, x, has: c[x] - (has if own else 0)
+            loss = [-np.log(m * mine(pair, (x, y), steps.count((x, y))) / max(1, mine(uni, x, has_uni[x])) + (1 - m) * (mine(uni, y, has_uni[y]) + 1) / (total - (len(ws) if own else 0) + size)) for x, y in steps]
+            row.append(float(np.mean(loss)) if loss else 0.0)
+        out.append((len(ws), *row))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"frequent": 5, "sample": 20, "least": 2, "block": 300, "max_broadcast": 3}, {"sample": 0, "frequent": 0, "block": 50}])
+def test_entropy_difference_against_brute_force(spark, options):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(40)]
-    docs = [(i, " ".join(rng.choice(words[: 10 + i % 30]) for _ in range(rng.randrange(1, 80)))) for i in range(60)] + [(60, None), (61, ""), (62, "W0 w1")]
-    labels = [(i, int(i % 3 == 0), 0) for i in range(40)]
-    df = spark.createDataFrame([(*d, "x") for d in docs] + [(None, "w1", "x")], "doc_id bigint, text string, difference string")
-    # every word a class of its own, all in the vocabulary, and one with a small vocabulary and few frequent bigrams
-    for vocabulary, frequent in ((1000, 1000), (12, 5)):
-        got = {r.doc_id: r for r in entropy_difference.score(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), vocabulary=vocabulary, frequent=frequent).collect()}
-        split = {i: (t or "").lower().split() for i, t in [*docs, (None, "w1")]}
-        count = defaultdict(int)
-        for w in split.values():
-            for x in w:
-                count[x] += 1
-        ranked = sorted(count.values(), reverse=True)
-        least = ranked[vocabulary] if len(ranked) > vocabulary else 0
-        known = {w for w, n in count.items() if n > least}
-        size = len(known) + 2
-        good = {i for i, q, _ in labels if q}
-        as_words = {i: [x if x in known else "?" for x in w] for i, w in split.items()}
-
-        def model(ids):
-            uni, pair, starts = defaultdict(int), defaultdict(int), 0
-            for i in ids:
-                w = as_words[i]
-                starts += bool(w)
-                for a, b in zip(["^", *w], w):
-                    pair[a, b] += 1
-                    uni[b] += 1
-            total, m = sum(uni.values()), entropy_difference.MIX
-            return lambda a, b: -np.log(m * pair[a, b] / max(1, starts if a == "^" else uni[a]) + (1 - m) * (uni[b] + 1) / (total + size))
-
-        t, g = model(good), model(as_words)
-        for i, w in as_words.items():
-            if i is None:
-                assert got[i].difference is None
-                continue
-            assert got[i].n_tokens == len(w)
-            for loss, name in ((t, "target_loss"), (g, "background_loss")):
-                want = np.mean([loss(a, b) for a, b in zip(["^", *w], w)]) if w else 0.0
-                assert getattr(got[i], name) == pytest.approx(want, abs=1e-8)
-    assert entropy_difference.score(df.limit(0), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).count() == 0
+    docs = [(i, " ".join(rng.choice(words[: 10 + i % 30]) for _ in range(rng.randrange(1, 80)))) for i in range(60)] + [(60, None), (61, ""), (62, "W0 w1"), (None, "w1 w1 é"), (3, "another text of id 3"), (9, "once only"), (9, "once only")]
+    labels = [(i, int(i % 3 == 0), 0) for i in range(40)] + [(None, 1, 0), (1, None, 0), (3, 1, 0)]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, difference string").repartition(4)
+    got = entropy_difference.score(df.withColumn("doc", F.lit("mine")), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), **options).collect()
+    want = entropy_by_brute_force(docs, {i for i, q, _ in labels if q and i is not None})
+    key = lambda r: (str(r[0]), r[1], round(r[2], 6), round(r[3], 6))
+    assert sorted(key((r.doc_id, r.n_tokens, r.target_loss, r.background_loss)) for r in got) == sorted(key((i, *w)) for (i, _), w in zip(docs, want, strict=True))
+    assert all(r.difference == pytest.approx(r.target_loss - r.background_loss, abs=1e-8) for r in got)
+
+
+def test_entropy_difference_of_odd_tables(spark):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    assert entropy_difference.score(none, labels).count() == 0
+    long = spark.createDataFrame([(1, "a b c d e f g " * 100_000), (2, "a b"), (3, "x" * 1_000_000)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in entropy_difference.score(long, labels).collect()}
+    assert [got[i].n_tokens for i in (1, 2, 3)] == [700_000, 2, 1] and got[2].background_loss < got[3].background_loss
+    assert all(r.difference == 0 for r in entropy_difference.score(none.union(long), labels.limit(0)).collect() if r.doc_id == 4)
 
 
 def test_target_model_counts_all_labelled_rows(spark):
@@ -191,17 +202,13 @@ def test_target_model_counts_all_labelled_rows(spark):
         assert got.count() == 20_500 and got.where("difference <> 0").count() == 0
 
 
-def test_every_word_is_in_the_vocabulary(spark):
-    # 60,000 words that occur once: more than a vocabulary of fixed size held
-    texts = [" ".join(f"w{i * 100 + k}" for k in range(100)) for i in range(600)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
-    m, n, size = entropy_difference.MIX, 60_000, 60_002
-    first, rest = -np.log(m / 600 + (1 - m) * 2 / (n + size)), -np.log(m + (1 - m) * 2 / (n + size))
-    got = {r.doc_id: r for r in entropy_difference.score(df, labels, frequent=50).collect()}
-    assert all(r.n_tokens == 100 and r.background_loss == pytest.approx((first + 99 * rest) / 100, abs=1e-8) for r in got.values())
-    assert got[0].target_loss == pytest.approx(-np.log(m + (1 - m) * 2 / (100 + size)), abs=1e-8)
-    assert got[1].target_loss == pytest.approx(-np.log((1 - m) / (100 + size)), abs=1e-8)
+def test_a_document_that_occurs_twice_stands_out(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(120))
+    docs = [text() for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(docs + docs[:10])), "doc_id bigint, text string")
+    got = {r.doc_id: r.difference for r in entropy_difference.score(df, spark.createDataFrame([(200, 1, 0)], "doc_id bigint, quality int, toxic int")).collect()}
+    assert min(got[i] for i in [*range(10), *range(300, 310)]) > max(got[i] for i in range(10, 300))
 
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
