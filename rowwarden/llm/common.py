@@ -165,15 +165,24 @@ def _block(block: int, packed: bytes) -> pa.RecordBatch:
 
 
 def _packed(v: np.ndarray) -> bytes:
-    """A byte for each counter; those of 255 and more follow as places and values."""
+    """Counters of a block: a byte for each, or the places and bytes of those that aren't 0; those of 255 and more follow as places and values."""
+    some = np.flatnonzero(v)
     large = np.flatnonzero(v >= 255)
-    return len(v).to_bytes(4, "little") + np.minimum(v, 255).astype(np.uint8).tobytes() + large.astype(np.int64).tobytes() + v[large].astype(np.int64).tobytes()
+    if 3 * len(some) < len(v):
+        body = len(some).to_bytes(4, "little") + some.astype(np.uint16).tobytes() + np.minimum(v[some], 255).astype(np.uint8).tobytes()
+    else:
+        body = (1 << 31).to_bytes(4, "little") + np.minimum(v, 255).astype(np.uint8).tobytes()
+    return len(v).to_bytes(4, "little") + body + large.astype(np.int64).tobytes() + v[large].astype(np.int64).tobytes()
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    n = int.from_bytes(x[:4], "little")
-    v = np.frombuffer(x, np.uint8, n, 4).astype(np.int64)
-    large = np.frombuffer(x[4 + n :], np.int64)
+    n, some = int.from_bytes(x[:4], "little"), int.from_bytes(x[4:8], "little")
+    if some == 1 << 31:
+        v, rest = np.frombuffer(x, np.uint8, n, 8).astype(np.int64), x[8 + n :]
+    else:
+        v, rest = np.zeros(n, np.int64), x[8 + 3 * some :]
+        v[np.frombuffer(x, np.uint16, some, 8)] = np.frombuffer(x, np.uint8, some, 8 + 2 * some)
+    large = np.frombuffer(rest, np.int64)
     v[large[: len(large) // 2]] = large[len(large) // 2 :]
     return v
 

@@ -4,8 +4,8 @@ The set of a document is its distinct word shingles; two documents link when the
 reaches the threshold. The result names each document's component.
 
 1. Documents of equal sets are one class, found by a 128-bit hash of the set; one of each class stands for it.
-2. Tokens (shingles) are ordered from rare to frequent by a sketch of document frequencies counted over all documents. A
-   set's prefix is its rarest tokens, so many that two sets which link must share one (n - ceil(t n) + 1).
+2. Tokens (shingles) are ordered from rare to frequent by a sketch of document frequencies counted over all documents,
+   whose size goes with the corpus; any order gives the same result. A set's prefix is its rarest tokens, so many that two sets which link must share one (n - ceil(t n) + 1).
    Only prefix tokens that two documents have travel further. Frequent ones are dealt out by document as well.
 3. Grouping: each document is compared with the one leader (smallest id) it shares most prefix tokens with. Those
    that link form groups, cut into blocks of at most about GROUP documents.
@@ -36,8 +36,8 @@ from .components import components
 WORDS = 4
 #: Similarity of at least SIMILAR / OF.
 SIMILAR, OF = 85, 100
-#: Counters of the frequency sketch.
-SKETCH = 1 << 22
+#: Counters of the frequency sketch: one for SKETCHED bytes of text, within limits.
+SKETCH_LEAST, SKETCH_MOST, SKETCHED = 1 << 22, 1 << 25, 512
 #: Rows of one token that a task may get; tokens of a higher frequency are dealt out by document too.
 HOT = 50_000
 GROUP = 64
@@ -56,10 +56,11 @@ def links(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR, of: int = OF) ->
     return both > 0 and of * both >= similar * (len(a) + len(b) - both)
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, similar: int = SIMILAR, of: int = OF, group: int = GROUP, hot: int = HOT, sketch: int = SKETCH) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, similar: int = SIMILAR, of: int = OF, group: int = GROUP, hot: int = HOT, sketch: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = docs.where("doc_id is not null")
+    sketch = sketch or sketch_size(docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0)
 
     both = written(_signatures(docs, words, sketch), "signatures")
     signatures = both.where("block is null").select("doc_id", "n", "high", "low")
@@ -131,6 +132,16 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **op
     return rows.join(again, ident == F.col("again_id"), "left_anti").union(one).select(restored)
 
 
+def sketch_size(text_bytes: int) -> int:
+    """Counters for that much text: a power of two."""
+    return min(SKETCH_MOST, max(SKETCH_LEAST, 1 << (text_bytes // SKETCHED).bit_length()))
+
+
+def own_frequency(counters: np.ndarray) -> np.ndarray:
+    """How frequent a counter's one frequent token is: what is above the mean of the counters, as that is due to the others that share it."""
+    return np.maximum(1, counters - int(counters.mean() if len(counters) else 0))
+
+
 def _prefix(n: Column, similar: int, of: int) -> Column:
     return n - F.ceil(n * similar / of) + 1
 
@@ -176,7 +187,8 @@ def _signatures(docs: DataFrame, words: int, sketch: int) -> DataFrame:
 
 def _prefixes(docs: DataFrame, frequency: np.ndarray, words: int, similar: int, of: int, hot: int) -> DataFrame:
     """token, part, doc_id, n and the token's place: the prefix of each set; of equal sets in a task, the first. part is -1 for tokens that are not hot."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, (1 << 31) - 1).astype(np.int32))
+    # the order is that of the counters; the mean of them, which any token has, makes none hot
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(own_frequency(frequency), (1 << 31) - 1).astype(np.int32))
     size = len(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ counted over all documents, in code points.
 
 Defined results: a null source is a source of its own (weight key None); null text has size 0; a source of size 0 or
 weight 0 gives no copies; weights of absent sources are left out and the rest scaled to 1; rows of one id draw one count;
+rows with a null id draw by their text;
 input columns named n_copies, copy_no or shuffle_key are replaced; an empty table gives an empty table.
 """
 
@@ -23,6 +24,8 @@ from .common import plain_names, without
 
 TEMPERATURE = 0.7
 SEED = 1
+#: Partitions that copies of one key may go to.
+SPREAD = 64
 #: Sources whose rates are sent to every executor; the rates of more sources are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 10_000
 
@@ -59,14 +62,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs:
     by_source = rates(docs, weights, epochs, text, source).where("rate > 0").select(F.col("source").alias("mix_source"), distribution(F.col("rate")).alias("mix_cdf"))
     if by_source.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
-    ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
+    ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
     # 52 bits of a hash that other engines have too
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     own = without(docs, ["n_copies", "copy_no", "shuffle_key", "mix_source", "mix_cdf"])
     counted = own.join(by_source, F.col(f"`{source}`").eqNullSafe(F.col("mix_source"))).withColumn("n_copies", F.size(F.filter("mix_cdf", lambda c: c <= u)).cast("bigint")).drop("mix_source", "mix_cdf")
     copies = counted.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), F.col("copy_no").cast("string"))), 1, 16))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    # equal rows have equal keys: where there are very many of them, the row's place in its input deals them out
+    return keyed.repartition("shuffle_key", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).sortWithinPartitions("shuffle_key")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
@@ -85,8 +89,8 @@ weighed AS (SELECT *, pow(size::DOUBLE, {TEMPERATURE}) AS weight FROM sizes WHER
 rated AS (SELECT source, (SELECT sum(size) FROM weighed) * (weight / (SELECT sum(weight) FROM weighed)) / size AS rate FROM weighed),
 terms AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rated, range(0, 4000) t(k) WHERE rate > 0 AND k <= ceil(rate + 12 * sqrt(rate) + 30)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-drawn AS (SELECT *, (CAST('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {float(1 << 52)!r} AS u FROM documents),
+drawn AS (SELECT *, (CAST('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {float(1 << 52)!r} AS u FROM documents),
 counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u) AS n_copies FROM drawn d)
-SELECT doc_id, text, lang, source, n_chars, n_copies, copy_no, substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no), 1, 16) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, n_copies, copy_no, substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) || ':' || copy_no), 1, 16) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM counted)
 """

@@ -56,7 +56,7 @@ def near_copies(seed=4):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("words", "similar", "options"), [(4, 85, {}), (4, 85, {"hot": 10, "group": 4, "sketch": 1 << 14}), (5, 80, {"group": 3})])
+@pytest.mark.parametrize(("words", "similar", "options"), [(4, 85, {}), (4, 85, {"hot": 10, "group": 4, "sketch": 1 << 14}), (4, 85, {"sketch": 64, "hot": 20}), (5, 80, {"group": 3})])
 def test_join_components_equal_brute_force(spark, words, similar, options):
     docs = near_copies()
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
@@ -68,6 +68,28 @@ def test_join_components_equal_brute_force(spark, words, similar, options):
     assert kept == {c for _, c in want.values()}
 
 
+def test_hot_tokens_are_told_from_crowded_counters():
+    # a small sketch that many rare tokens share: only the frequent token is hot
+    rng = np.random.default_rng(4)
+    counters = np.bincount(rng.integers(0, 64, 100_000), minlength=64)
+    counters[7] += 5_000
+    own = jaccard_join.own_frequency(counters)
+    assert 4_000 < own[7] < 6_500 and own.argmax() == 7 and np.delete(own, 7).max() < 500
+    assert (np.argsort(own, kind="stable")[-1:] == 7).all()
+    assert [jaccard_join.sketch_size(n) for n in (0, 10**9, 10**14)] == [1 << 22, 1 << 22, 1 << 25] and jaccard_join.sketch_size(10**10) == 1 << 25
+
+
+def test_join_with_very_long_and_repeated_texts(spark):
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    other = list(long)
+    for i in range(0, 200_000, 4_000):
+        other[i] = "changed"
+    docs = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:100_000])), (4, "x" * 1_000_000)] + [(10 + i, "same short text here again") for i in range(40)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [1, 1, 3, 4] and {got[10 + i] for i in range(40)} == {10}
+
+
 def test_join_of_odd_rows(spark):
     rows = [(1, "a b c d e", "x"), (1, "p q r s t", "x"), (2, "P q r s t", None), (2, "P q r s t", None), (None, "a b c d e", "y"), (None, None, None), (3, None, "z")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, component_id string")

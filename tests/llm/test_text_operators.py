@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rowwarden.llm import importance_resampling, mixing, pieces, quality_rules, token_counts, toxicity
-from rowwarden.llm.common import corpus_counts, largest
+from rowwarden.llm.common import _packed, _unpacked, corpus_counts, largest
 from rowwarden.llm.ngram_ratio import grams, ratios_of
 
 SF = "/root/testdata/sf0.001"
@@ -274,6 +274,12 @@ def test_junk_goes_and_clean_text_stays(spark):
         assert rate[1] > 0.97 and rate.get(0, 0) < junk
 
 
+def test_partial_counters_travel_whole():
+    rng = np.random.default_rng(7)
+    for v in (np.zeros(9), np.arange(600), np.where(rng.random(1 << 14) < 0.1, rng.integers(0, 1 << 40, 1 << 14), 0), rng.integers(0, 300, 1 << 14)):
+        assert (_unpacked(_packed(v.astype(np.int64))) == v).all()
+
+
 def test_kth_largest(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(-5, 5) << rng.randrange(0, 60), rng.randrange(-(1 << 62), 1 << 62)) for _ in range(500)]
@@ -296,7 +302,19 @@ def test_mixing_hits_its_rates(spark, odd):
     head = [r.doc_id for r in out.limit(200).collect()]
     assert np.mean(np.abs(np.diff(head))) > 8000  # no trace of the order of input
     assert mixing.mixed_rows(odd).schema == odd.schema
-    assert mixing.mix(odd).where("doc_id is null").count() >= 0 and mixing.mix(empty(spark)).count() == 0
+    assert mixing.mix(empty(spark)).count() == 0
+    clash = odd.withColumn("n_copies", F.lit("mine")).withColumn("COPY_NO", F.lit("mine")).withColumn("shuffle_key", F.lit("mine"))
+    out = mixing.mix(clash, {None: 40.0, "s0": 1.0, "s1": 1.0, "s2": 1.0}, epochs=3.0).collect()
+    of = {}
+    for r in out:
+        of.setdefault((r.doc_id, r.text), []).append((r.n_copies, r.copy_no, r.shuffle_key))
+    for rows in of.values():  # a row for each copy, with a key for each
+        n = {n for n, _, _ in rows}
+        assert len(n) == 1 and {c for _, c, _ in rows} == set(range(1, n.pop() + 1)) and len({(c, k) for _, c, k in rows}) == len({c for _, c, _ in rows})
+    assert (None, "no id here") in of
+    lost = spark.range(3000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("a").alias("source"))
+    some = mixing.mix(lost, {"a": 1.0})
+    assert abs(some.count() - 3000) < 300 and some.select("shuffle_key").distinct().count() == some.count()  # rows without an id draw each for itself
     big = mixing.mix(docs.limit(50), {"a": 1.0}, epochs=900.0)
     assert abs(big.count() - 45000) < 2000
 
