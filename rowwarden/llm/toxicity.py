@@ -43,8 +43,10 @@ STEPS, FIRST_STEPS, RATE, KEPT_MEAN, KEPT_SQUARE = 200, 60, 0.1, 0.9, 0.99
 #: Smaller weights are left out of the model.
 LEAST = 1e-3
 REMEMBERED = 1 << 17
+#: Texts whose swaps are worked out at once.
+PORTION = 512
 #: Found terms: least toxic and other texts, least standard deviations above chance; how many terms, and neutral words to choose from.
-MIN_TOXIC, MIN_OTHER, ABOVE_CHANCE, MAX_TERMS, MAX_NEUTRAL = 3, 6, 1.5, 512, 2048
+MIN_TOXIC, MIN_OTHER, ABOVE_CHANCE, MAX_TERMS, MAX_NEUTRAL = 3, 6, 1.5, 512, 1024
 #: Found terms of a group, and ways to swap a text.
 SPREAD, SWAPS = 3, 2
 #: Groups of identity terms that may stand for each other.
@@ -94,14 +96,29 @@ def swaps(groups: Groups, way: int = 1) -> dict[str, str]:
     return out
 
 
-def found_groups(docs: list[set[str]], y: np.ndarray, given: Groups = ()) -> Groups:
+@dataclass
+class Sample:
+    """Labelled texts: their distinct words (word of row, as places in `words`) and whether each is toxic."""
+
+    words: list[str]
+    row: np.ndarray
+    word: np.ndarray
+    y: np.ndarray
+
+    @classmethod
+    def of(cls, docs: pa.Array, y: np.ndarray) -> Sample:
+        """From a list array of each text's distinct words."""
+        flat = docs.flatten().dictionary_encode()
+        lengths = docs.value_lengths().to_numpy(zero_copy_only=False)
+        return cls(flat.dictionary.to_pylist(), np.repeat(np.arange(len(y)), lengths), flat.indices.to_numpy(), np.asarray(y, float))
+
+
+def found_groups(sample: Sample, given: Groups = ()) -> Groups:
     """Groups of terms that go with the toxic label though their mentions are mostly neutral, each with neutral words to stand for them."""
+    y, row, word, names = sample.y, sample.row, sample.word, sample.words
     n, n_toxic = len(y), float(y.sum())
     if not 0 < n_toxic < n:
         return ()
-    flat = pa.array([w for d in docs for w in sorted(d)]).dictionary_encode()
-    word, row = flat.indices.to_numpy(), np.repeat(np.arange(n), [len(d) for d in docs])
-    names = flat.dictionary.to_pylist()
     toxic = np.bincount(word, y[row], len(names))
     every = np.bincount(word, minlength=len(names))
     base = n_toxic / n
@@ -138,8 +155,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[set[str]], np.ndarray]:
-    """The words of the labelled texts to learn from, and whether each is toxic: at most max_train texts."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Sample:
+    """The labelled texts to learn from: at most max_train."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # at most max_train pairs of numbers
@@ -151,12 +168,15 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
     got = rows.mapInArrow(extract, "doc_id bigint, toxic int, words array<string>").toArrow().sort_by("doc_id")
-    return [set(x) for x in got.column("words").to_pylist()], np.array(got.column("toxic").to_pylist(), float)
+    words = got.column("words").combine_chunks()
+    if isinstance(words, pa.ChunkedArray):
+        words = pa.concat_arrays(words.chunks) if words.num_chunks else pa.array([], pa.list_(pa.string()))
+    return Sample.of(words, got.column("toxic").to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups: Groups = IDENTITY_GROUPS, find: bool = True, counterfactual: float = COUNTERFACTUAL) -> Classifier:
-    sample, y = labelled_texts(docs, labels, max_train)
-    return train(sample, y, groups + (found_groups(sample, y, groups) if find else ()), counterfactual)
+    sample = labelled_texts(docs, labels, max_train)
+    return train(sample, groups + (found_groups(sample, groups) if find else ()), counterfactual)
 
 
 @dataclass
@@ -197,51 +217,64 @@ class Problem:
         return g, float(e.sum())
 
 
-def problem(docs: list[set[str]], y: np.ndarray, groups: Groups, counterfactual: float) -> Problem:
-    known: dict[str, tuple[int, ...]] = {}
-
-    def of(words) -> set[int]:
-        for w in words:
-            if w not in known:
-                known[w] = tuple(features(w))
-        return {f for w in words for f in known[w]}
-
+def problem(sample: Sample, groups: Groups, counterfactual: float) -> Problem:
     ways = [swaps(groups, i + 1) for i in range(SWAPS)]
-    terms = set(ways[0])
-    own = [of(d) for d in docs]
-    as_array = lambda sets: np.concatenate([np.fromiter(s, np.uint64, len(s)) for s in sets] or [np.zeros(0, np.uint64)])
-    names, counts = np.unique(as_array(own), return_counts=True)
-    names = names[counts >= MIN_TEXTS]
-
-    def sparse(sets: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
-        r, v = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), as_array(sets)
-        at = np.minimum(np.searchsorted(names, v), max(0, len(names) - 1))
-        ok = names[at] == v if len(names) else np.zeros(len(v), bool)
-        return r[ok], at[ok]
-
-    lost, gained, n_swapped = [], [], 0
-    for d, f in zip(docs, own, strict=True):
-        if d.isdisjoint(terms):
-            continue
-        n_swapped += 1
-        for way in ways:
-            other = of([way.get(w, w) for w in d])
-            if other != f:
-                lost.append(f - other)
-                gained.append(other - f)
-    row, col = sparse(own)
-    (pair_a, at_a), (pair_b, at_b) = sparse(lost), sparse(gained)
-    sign = np.concatenate([np.ones(len(at_a)), -np.ones(len(at_b))])
-    return Problem(y, names, row, col, np.concatenate([pair_a, pair_b]), np.concatenate([at_a, at_b]), sign, len(lost), n_swapped, counterfactual)
-
-
-def train(docs: list[set[str]], y: np.ndarray, groups: Groups = IDENTITY_GROUPS, counterfactual: float = COUNTERFACTUAL) -> Classifier:
+    place = {w: i for i, w in enumerate(sample.words)}
+    for term in ways[0]:
+        place.setdefault(term, len(place))
+    # features of each word, and the word that takes its place each way
+    size = np.fromiter((1 + sum(len(w) > k for k in PREFIXES) for w in place), np.int64, len(place))
+    all_names, feature = np.unique(np.fromiter((f for w in place for f in features(w)), np.uint64, int(size.sum())), return_inverse=True)
+    start = np.cumsum(size) - size
+    becomes = [np.arange(len(place)) for _ in ways]
+    for way, to in zip(ways, becomes, strict=True):
+        for a, b in way.items():
+            to[place[a]] = place[b]
+    term = np.zeros(len(place), bool)
+    term[[place[t] for t in ways[0]]] = True
+    some = len(all_names)
+
+    def keys(row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Row and feature of each row of words, in one number."""
+        n = size[word]
+        at = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.unique(np.repeat(row, n) * some + feature[at])
+
+    own_keys, lost, gained, n_pairs, n_swapped = [], [], [], 0, 0
+    for lo in range(0, len(sample.y), PORTION):  # some texts at a time
+        a, b = np.searchsorted(sample.row, [lo, lo + PORTION])
+        row, word = sample.row[a:b], sample.word[a:b]
+        own = keys(row, word)
+        own_keys.append(own)
+        swapped = np.unique(row[term[word]])
+        n_swapped += len(swapped)
+        inside = np.isin(row, swapped)
+        before = own[np.isin(own // some, swapped)] if some else own
+        for to in becomes:
+            after = keys(row[inside], to[word[inside]])
+            gone, new = np.setdiff1d(before, after, assume_unique=True), np.setdiff1d(after, before, assume_unique=True)
+            texts_changed = np.unique(np.concatenate([gone, new]) // max(1, some))
+            for out, k in ((lost, gone), (gained, new)):
+                out.append(np.stack([n_pairs + np.searchsorted(texts_changed, k // max(1, some)), k % max(1, some)]))
+            n_pairs += len(texts_changed)
+    none = np.zeros((2, 0), np.int64)
+    own, (pair_a, at_a), (pair_b, at_b) = np.concatenate(own_keys or [none[0]]), np.concatenate(lost or [none], axis=1), np.concatenate(gained or [none], axis=1)
+    used = np.bincount(own % max(1, some), minlength=some) >= MIN_TEXTS
+    own = own[used[own % max(1, some)]]
+    row, col = own // max(1, some), own % max(1, some)
+    own_keys.clear()
+    number = np.cumsum(used) - 1
+    p = Problem(sample.y, all_names[used], row, number[col], np.concatenate([pair_a[used[at_a]], pair_b[used[at_b]]]), np.concatenate([number[at_a[used[at_a]]], number[at_b[used[at_b]]]]), np.zeros(0), n_pairs, n_swapped, counterfactual)
+    return replace(p, sign=np.concatenate([np.ones(int(used[at_a].sum())), -np.ones(int(used[at_b].sum()))]))
+
+
+def train(sample: Sample, groups: Groups = IDENTITY_GROUPS, counterfactual: float = COUNTERFACTUAL) -> Classifier:
     """Projected steps of a rate for each weight (Adam's), slower and slower. On weights that aren't negative, L1 is a constant slope."""
-    n = len(y)
+    y, n = sample.y, len(sample.y)
     bias = float(np.log((y.sum() + 0.5) / (n - y.sum() + 1.5)))
     if not 0 < y.sum() < n:
         return Classifier(bias, {})
-    p = problem(docs, y, groups, counterfactual)
+    p = problem(sample, groups, counterfactual)
     w = np.zeros(len(p.names) + 1)  # the last is the bias
     w[-1] = bias
     mean, square = np.zeros(len(w)), np.zeros(len(w))

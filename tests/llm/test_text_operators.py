@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -319,13 +320,17 @@ def test_mixing_hits_its_rates(spark, odd):
     assert abs(big.count() - 45000) < 2000
 
 
+def sample_of(docs, y):
+    return toxicity.Sample.of(pa.array([sorted(d) for d in docs], pa.list_(pa.string())), np.array(y))
+
+
 def test_toxicity_of_held_out_texts_and_gap_of_swapped_ones(spark):
     docs, known = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    sample, y = toxicity.labelled_texts(docs, known)
-    found = toxicity.found_groups(sample, y)
+    sample = toxicity.labelled_texts(docs, known)
+    found = toxicity.found_groups(sample)
     assert len(found) > 100 and all(len(set(g)) >= 2 for g in found)
-    plain, model = (toxicity.train(sample, y, toxicity.IDENTITY_GROUPS + found, c) for c in (0.0, toxicity.COUNTERFACTUAL))
-    assert model.n_swapped > len(sample) / 2  # the counterfactual part is at work on these tables
+    plain, model = (toxicity.train(sample, toxicity.IDENTITY_GROUPS + found, c) for c in (0.0, toxicity.COUNTERFACTUAL))
+    assert model.n_swapped > len(sample.y) / 2  # the counterfactual part is at work on these tables
     rows = toxicity.score_texts(docs.join(known, "doc_id"), model).where(toxicity.held_out(F.col("doc_id"))).select("toxic", "predicted", "score", "text", "doc_id").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
     toxic = [r for r in rows if r.toxic]
@@ -349,7 +354,7 @@ def test_toxicity_counterfactuals_flatten_identity_terms():
         docs.append({*rng.sample(fill, 12), *([rng.choice(insult)] if bad else []), *(["gay"] if rng.random() < (0.6 if bad else 0.02) else [])})
         y.append(float(bad))
     mention = f"{plain[0]} w1 w2"
-    scores = [toxicity.Scorer(toxicity.train(docs, np.array(y), toxicity.IDENTITY_GROUPS, c)).score(mention) for c in (0.0, toxicity.COUNTERFACTUAL)]
+    scores = [toxicity.Scorer(toxicity.train(sample_of(docs, y), toxicity.IDENTITY_GROUPS, c)).score(mention) for c in (0.0, toxicity.COUNTERFACTUAL)]
     assert scores[1] < scores[0] and scores[1] < 0.5
 
 
@@ -359,7 +364,7 @@ def test_toxicity_score_gradient_and_groups_against_brute_force():
     docs = [set(rng.sample(words, rng.randrange(1, 9))) for _ in range(80)]
     y = np.array([float("auing" in d or rng.random() < 0.2) for d in docs])
     groups = (("auing", "buing", "cuing"), ("dxing", "dying"))
-    p = toxicity.problem(docs, y, groups, 3.0)
+    p = toxicity.problem(sample_of(docs, y), groups, 3.0)
     w, bias = np.random.default_rng(1).uniform(0, 1, len(p.names)), -0.7
     of = dict(zip(p.names.tolist(), w, strict=True))
     logit = lambda d: bias + sum(of.get(f, 0.0) for f in {f for x in d for f in toxicity.features(x)})
@@ -375,7 +380,7 @@ def test_toxicity_score_gradient_and_groups_against_brute_force():
     model = toxicity.Classifier(bias, {k: v for k, v in of.items()})
     for d in docs[:20]:
         assert toxicity.Scorer(model).score(" ".join(d)) == pytest.approx(1 / (1 + np.exp(-logit(d))))
-    assert toxicity.found_groups(docs, np.zeros(80)) == () and toxicity.swaps((("a", "b"),), 2) == {"a": "a", "b": "b"}
+    assert toxicity.found_groups(sample_of(docs, np.zeros(80))) == () and toxicity.swaps((("a", "b"),), 2) == {"a": "a", "b": "b"}
 
 
 def test_toxicity_of_odd_rows(spark, odd, labels):
@@ -385,4 +390,4 @@ def test_toxicity_of_odd_rows(spark, odd, labels):
     assert none.weights == {}
     assert toxicity.score_texts(empty(spark), none).count() == 0
     repeated = spark.createDataFrame([(1, f"t{i}") for i in range(50)], "doc_id bigint, text string")
-    assert len(toxicity.labelled_texts(repeated, labels)[0]) == 1
+    assert len(toxicity.labelled_texts(repeated, labels).y) == 1
