@@ -231,7 +231,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
     rows = marked(docs, labels, max_broadcast)
     size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    blocks = max(1, ceil(size.bytes / block))
+    blocks = max(ceil(size.bytes / block), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # no fewer than there are tasks
 
     common = sc.broadcast(frequent_bigrams(rows, size.rows, frequent, sample, least))  # at most `frequent` keys
 
