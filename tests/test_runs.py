@@ -1,7 +1,11 @@
 """Documents, linking, drift, planning, reports, readers, the portal and whole runs, on small inputs."""
 
+import codecs
+import datetime as dt
 import io
 import json
+import random
+import struct
 import zipfile
 from datetime import datetime
 
@@ -11,7 +15,7 @@ from rowwarden.operators import documents as D
 from rowwarden.operators import drift, extraction, linking, planning, reporting
 from rowwarden.plans import lifecycle
 from rowwarden.sources import files as S
-from rowwarden.sources import portal, sinks
+from rowwarden.sources import portal, sinks, xls
 from rowwarden.streaming import incremental
 
 
@@ -145,6 +149,118 @@ def test_readers(spark):
     assert S.read_tables(spark.createDataFrame([("z", bytearray(data["zip"]))], "path string, content binary"), most=1).where("row_no > 1").count() == 0
 
 
+def test_spreadsheet_dates(spark):
+    styles = '<styleSheet><numFmts><numFmt numFmtId="170" formatCode="[$-416]dd/mm/yy;@"/><numFmt numFmtId="171" formatCode="&quot;day&quot; 0.00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="21"/></cellXfs></styleSheet>'
+    sheet = '<worksheet><sheetData><row><c><v>44562</v></c><c s="1"><v>44562</v></c><c s="2"><v>44562.5</v></c><c s="3"><v>44562</v></c><c s="4"><v>0.25</v></c><c s="1"><v>1</v></c></row><row><c s="1"/></row></sheetData></worksheet>'
+    data = archive(XLSX | {"xl/styles.xml": styles, "xl/worksheets/sheet1.xml": sheet})
+    assert [list(t.rows) for t in S.tables_of(data)] == [[["44562", "2022-01-01T00:00:00", "2022-01-01T12:00:00", "44562", "06:00:00", "1900-01-01T00:00:00"], [""]]]
+
+
+def test_xml_doctype_and_json_streams(spark):
+    tables = lambda data: [(t.format, list(t.rows)) for t in S.tables_of(data)]
+    assert tables(b'<?xml version="1.0"?><!DOCTYPE r><r><i><A>1</A></i><i A="2"/></r>') == [("xml", [["A"], ["1"], ["2"]])]
+    assert tables(b"<r><i><A>a &lt;!ENTITY b</A></i></r>") == [("xml", [["A"], ["a <!ENTITY b"]])]
+    records = [{"n": i, "x": "é" * (i % 50)} for i in range(20_000)]
+    late = records + [{"n": 1, "later": 2}]
+    for doc in (late, {"a": {"b": [1, 2]}, "n": 12.5, "rows": late, "more": [9]}):
+        got = tables(json.dumps(doc, ensure_ascii=False, indent=1).encode())[0][1]
+        assert got[0] == ["n", "x"] and got[1:-1] == [[str(r["n"]), r["x"]] for r in records] and got[-1] == ["1", "", ""]
+    assert tables(b"[]") == [("json", [[]])] and tables(b'{"a": 1}') == [("json", [[]])] and tables(b"[1, 2.5, null]") == [("json", [["value"], ["1"], ["2.5"], [""]])]
+    for bad in (b'[{"A": 1}', b'[{"A": 1} {"A": 2}]', b'{"a" 1}', b'[{"A": tru}]'):
+        assert [r[-1] for r in S.rows_of_file("p", bad)] == ["malformed"]
+
+
+def test_encodings_and_delimiters():
+    assert [S.encoding_of(x) for x in (b"abc", "é".encode(), "é".encode() * 40_000 + b"\xc3", "é".encode("cp1252") + b"x", codecs.BOM_UTF8 + b"a", "é".encode("utf-16"))] == ["utf-8", "utf-8", "utf-8", "cp1252", "utf-8-sig", "utf-16"]
+    for mark in ";,\t|":
+        assert S.delimiter_of("\n".join(mark.join((f"a{i}", "1.5", '"x' + mark + 'y"')) for i in range(9))) == mark
+    assert S.delimiter_of("name;value\na, b;1\nc, d, e;2\n") == ";" and S.delimiter_of("only\none\n") == ";" and S.delimiter_of("") == ";"
+    assert S.decode_errors("a\x81b".encode("latin-1"), "utf-8") == 1 and S.decode_errors("é�".encode() * 70_000, "utf-8") == 0 and S.decode_errors(b"ok\x81", "cp1252") == 1
+    assert [S.cell(v) for v in (None, True, 3, 2.0, 2.5, dt.date(2022, 1, 2), {"a": "é"}, [1], "t")] == ["", "true", "3", "2", "2.5", "2022-01-02", '{"a": "é"}', "[1]", "t"]
+
+
+def test_members_go_by_level_and_archives_stream():
+    files = {"b/x.csv": "A\n1\n", "z.csv": "B;C\n1;2\n", "a/y.csv": "D\n", "a.csv": "E\n5\n", "n.zip": archive({"m.zip": archive({"b.csv": "c\n3\n"})})}
+    assert [t.member for t in S.tables_of(archive(files))] == ["a.csv", "n.zip/m.zip/b.csv", "z.csv", "a/y.csv", "b/x.csv"]
+    rng = random.Random(1)
+    body = "COD;VALOR\n" + "".join(f"{rng.getrandbits(64):x};{rng.getrandbits(64):x}\n" for _ in range(100_000))
+    for compression in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", compression) as z:
+            z.writestr("readme.pdf", "%PDF" * 50)
+            z.writestr("in/data.csv", body)
+        data = out.getvalue()
+        stream = S.Pieces(data[lo : lo + 10_000] for lo in range(0, len(data), 10_000))
+        assert S.first_header(stream) == ("in/data.csv", "csv", ["COD", "VALOR"]) and stream.taken < 300_000 < len(data)
+        members = dict((name, b"".join(content)) for name, content in S.streamed_members(S.Pieces([data])))
+        assert members == {"readme.pdf": b"%PDF" * 50, "in/data.csv": body.encode()}
+
+    class OneWay(io.RawIOBase):  # what cannot seek is written with sizes after the content
+        def __init__(self):
+            self.parts = []
+
+        def writable(self):
+            return True
+
+        def write(self, b):
+            self.parts.append(bytes(b))
+            return len(b)
+
+    way = OneWay()
+    with zipfile.ZipFile(way, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.csv", "X;Y\n1;2\n")
+        z.writestr("b.csv", "Z\n")
+    assert [(n, b"".join(c)) for n, c in S.streamed_members(S.Pieces(way.parts))] == [("a.csv", b"X;Y\n1;2\n"), ("b.csv", b"Z\n")]
+    assert S.first_header([archive(XLSX)]) == ("S1", "xlsx", ["A", "", "C"]) and S.first_header([b'[{"A":1},{"B":2}]']) == ("", "json", ["A", "B"])
+    assert S.first_header([archive({"n.zip": archive({"b.csv": "c\n3\n"})})]) == ("n.zip/b.csv", "csv", ["c"])
+
+
+def old_workbook(sheets):
+    """A compound document with a workbook stream, as the published layout has it."""
+    record = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    text = lambda s: struct.pack("<HB", len(s), 1) + s.encode("utf-16-le")
+    strings = sorted({v for _, rows in sheets for r in rows for v in r if isinstance(v, str)})
+    bodies = []
+    for _, rows in sheets:
+        out = record(xls.BOF, b"\0" * 16)
+        for i, r in enumerate(rows):
+            for j, v in enumerate(r):
+                at = struct.pack("<HHH", i, j, 0)
+                out += record(xls.LABELSST, at + struct.pack("<I", strings.index(v))) if isinstance(v, str) else record(xls.BOOLERR, at + bytes([v, 0])) if isinstance(v, bool) else record(xls.RK, at + struct.pack("<i", v << 2 | 2)) if isinstance(v, int) else record(xls.NUMBER, at + struct.pack("<d", v))
+        bodies.append(out + record(xls.EOF, b""))
+    whole = b"".join(text(s) for s in strings)
+    cut = 8 + len(text(strings[0])) + 3 + 2  # in the second string, between two characters
+    shared = struct.pack("<II", len(strings), len(strings)) + whole
+    table = record(xls.SST, shared[:cut]) + record(xls.CONTINUE, b"\1" + shared[cut:])
+    head = record(xls.BOF, b"\0" * 16)
+    names = [name.encode("latin-1") for name, _ in sheets]
+    start = len(head) + sum(4 + 8 + len(n) for n in names) + len(table) + 4
+    for n, body in zip(names, bodies):
+        head += record(xls.BOUNDSHEET, struct.pack("<IBBBB", start, 0, 0, len(n), 0) + n)
+        start += len(body)
+    stream = (head + table + record(xls.EOF, b"") + b"".join(bodies)).ljust(4096, b"\0")
+    n = -(-len(stream) // 512)
+    entry = lambda name, kind, at, size: (name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<II", at, size)).ljust(128, b"\0")
+    fat = [0xFFFFFFFD, 0xFFFFFFFE, *range(3, 2 + n), 0xFFFFFFFE]
+    header = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<III", 1, 1, 0) + struct.pack("<IIIII", 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<I", 0) + b"\xff" * 432
+    return header + struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff") + (entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 2, len(stream))).ljust(512, b"\0") + stream.ljust(512 * n, b"\0")
+
+
+def test_old_spreadsheets():
+    data = old_workbook([("S1", [["Código", "valor ção"], [7, 2.5], [-3, "Código"]]), ("S2", [["x"], [True]])])
+    got = [(t.member, t.format, list(t.rows)) for t in S.tables_of(data)]
+    assert got == [("S1", "xls", [["Código", "valor ção"], ["7", "2.5"], ["-3", "Código"]]), ("S2", "xls", [["x"], ["1"]])]
+    assert [r[-1] for r in S.rows_of_file("p", data[:600])] == ["malformed"]
+    assert [xls.compressed_number(x) for x in (1 << 2 | 2, (250 << 2 | 3), 0x3FF00000, 0xFFFFFFFE)] == [1.0, 2.5, 1.0, -1.0]
+
+
+def test_files_over_the_limit_are_listed(spark, tmp_path):
+    (tmp_path / "small.csv").write_text("A;B\n1;2\n")
+    (tmp_path / "large.csv").write_text("A;B\n" + "1;2\n" * 100)
+    got = {r.path.rsplit("/", 1)[-1]: (r.cells, r.error_kind) for r in S.read_tables(S.list_files(spark, str(tmp_path), limit=50)).collect()}
+    assert got == {"small.csv": (["1", "2"], None), "large.csv": (None, "too-large")}
+
+
 def fake_portal(pages):
     def open_(method, url, headers):
         if "package_search" in url:
