@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -11,9 +12,9 @@ from pyspark.sql import types as T
 
 #: Words that say nothing about which file a dictionary describes.
 STOP_WORDS = (
-    "metadados metadado dicionario dicionarios de da do das dos dados e data dictionary csv json xml pdf xlsx xls "
-    "variaveis variavel tabela tabelas campos arquivo the of schema esquema layout zip download"
-).split()
+    "metadados", "metadado", "dicionario", "dicionarios", "de", "da", "do", "das", "dos", "dados", "e", "data", "dictionary", "csv", "json", "xml", "pdf", "xlsx", "xls",
+    "variaveis", "variavel", "tabela", "tabelas", "campos", "arquivo", "the", "of", "schema", "esquema", "layout", "zip", "download",
+)
 #: Connectives left out when spellings are compared.
 CONNECTIVES = ("de", "da", "do", "das", "dos", "e", "of", "the")
 
@@ -22,19 +23,33 @@ def _folded(ch: str) -> str:
     return unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
 
 
-_PAIRS = [(chr(c), f) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(f := _folded(chr(c))) == 1]
-_FROM, _TO = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
+_FOLDS = {ch: f for c in range(0x80, 0x30000) if unicodedata.decomposition(ch := chr(c)) and (f := _folded(ch))}
+_ONE = {ch: f for ch, f in _FOLDS.items() if len(f) == 1}
+#: Ligatures, fractions, numbers in signs and the like: one character that several ASCII ones stand for.
+_SEVERAL = {ch: f for ch, f in _FOLDS.items() if len(f) > 1}
+_FROM, _TO = "".join(_ONE), "".join(_ONE.values())
 
 
-def ascii_fold(c: Column) -> Column:
-    """Characters that decompose to one ASCII character become it; other non-ASCII characters go (ascii_fold_exact also expands the rest)."""
-    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), _FROM, _TO), r"[^\x00-\x7F]", "")
+def _ranges(chars: list[str], gap: int = 64) -> str:
+    """A class of few ranges that has all the characters, and others between them."""
+    ends: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ends and c - ends[-1][1] <= gap:
+            ends[-1][1] = c
+        else:
+            ends.append([c, c])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ends) + "]"
 
 
-@F.pandas_udf(T.StringType())
-def ascii_fold_exact(c: pd.Series) -> pd.Series:
-    """Compatibility decomposition in full (a ligature or a fraction becomes several characters). Arrow-batched."""
-    return c.fillna("").map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+_ANY_SEVERAL = _ranges(list(_SEVERAL))
+
+
+def ascii_fold(c: Column) -> Column:
+    """Compatibility decomposition of every character, of which the ASCII ones stay."""
+    text = F.translate(F.coalesce(c, F.lit("")), _FROM, _TO)
+    table = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda ch: F.when(ch.rlike(_ANY_SEVERAL), F.coalesce(F.try_element_at(table, ch), ch)).otherwise(ch)), "")
+    return F.regexp_replace(F.when(text.rlike(_ANY_SEVERAL), spelled).otherwise(text), r"[^\x00-\x7F]", "")
 
 
 def norm(c: Column) -> Column:

@@ -47,15 +47,18 @@ def with_ordinals(df: DataFrame, *keys: str) -> DataFrame:
 def records_as_rows(records: DataFrame, order: str, first: int = 1000) -> DataFrame:
     """Records (resource_id, `order`, record: map of text) as header and cells.
 
-    The header is the union of keys of the first records, in order of appearance; missing keys give empty cells, and a
-    key that only comes later makes its row longer.
+    The header is the union of keys of a resource's first records, in order of appearance; missing keys give empty
+    cells, and a record with a key that only comes later has one empty cell more. A resource of empty records has an empty header.
     """
-    early = records.where(F.col(order) < first).select("resource_id", order, F.posexplode(F.map_keys("record")).alias("at", "key"))
-    place = early.groupBy("resource_id", "key").agg(F.min(F.struct(order, "at")).alias("first"))
+    # the window's limit is applied in each task before records of a resource meet
+    nth = F.row_number().over(Window.partitionBy("resource_id").orderBy(order))
+    early = records.select("resource_id", order, F.map_keys("record").alias("keys")).withColumn("nth", nth).where(F.col("nth") <= first)
+    place = early.select("resource_id", "nth", F.posexplode("keys").alias("at", "key")).groupBy("resource_id", "key").agg(F.min(F.struct("nth", "at")).alias("first"))
     header = place.groupBy("resource_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "key"))), lambda x: x["key"]).alias("header"))
-    late = F.array_except(F.map_keys("record"), F.col("header"))
-    cells = F.concat(F.transform("header", lambda k: F.coalesce(F.col("record")[k], F.lit(""))), F.transform(late, lambda k: F.coalesce(F.col("record")[k], F.lit(""))))
-    return records.join(header, "resource_id").select("resource_id", order, "header", cells.alias("cells"))
+    rows = records.join(header, "resource_id", "left").withColumn("header", F.coalesce("header", F.array().cast("array<string>")))
+    late = F.size(F.array_except(F.map_keys("record"), F.col("header"))) > 0
+    cells = F.concat(F.transform("header", lambda k: F.coalesce(F.col("record")[k], F.lit(""))), F.when(late, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    return rows.select("resource_id", order, "header", cells.alias("cells"))
 
 
 def columns(cells: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:

@@ -12,11 +12,13 @@ METHODS = ("single", "name", "header", "declared-id")
 #: Formats that machines or people read.
 MACHINE_FORMATS = ("CSV", "JSON", "XML", "XLSX", "XLS", "ODS", "TXT")
 HUMAN_FORMATS = ("PDF", "HTML", "HTM", "DOC", "DOCX", "ODT", "RTF")
+#: Words in the name of a dictionary.
+DICTIONARY_NAME = r"metadad|dicion[aá]rio|dicionario|dictionary|\besquema\b|\bschema\b|\blayout\b"
 ENOUGH = 0.5
 
 
 def is_dictionary(name: Column, url: Column) -> Column:
-    return F.concat_ws(" ", F.coalesce(name, F.lit("")), basename(url)).rlike(r"(?i)metadad|dicion[aáÁ]rio|dicionario|dictionary|\besquema\b|\bschema\b|\blayout\b")
+    return F.concat_ws(" ", F.coalesce(name, F.lit("")), basename(url)).rlike(f"(?iu){DICTIONARY_NAME}")
 
 
 def reader_kind(fmt: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import planning as P
 from ..operators import reporting as R
 from ..session import table
 from .common import SQL_FACTS, facts, registry
@@ -60,7 +61,7 @@ _DELIVERY = _F + f"""
 , seen AS (SELECT host, count(*) AS linked, count(*) FILTER (g) AS files, count(*) FILTER (g AND etag IS NOT NULL) AS with_etag, count(*) FILTER (g AND last_modified IS NOT NULL) AS with_last_modified, count(*) FILTER (g AND etag IS NULL AND last_modified IS NULL) AS fv,
   count(*) FILTER (g AND content_length IS NULL) AS fl, count(*) FILTER (g AND kind IN ('zip', 'csv') AND {_GENERIC}) AS fg, count(*) FILTER (status = 'error' AND error LIKE '%404 Client%') AS broken_links, count(*) FILTER (status = 'error' AND error LIKE '%TooManyRedirects%') AS redirect_loops
   FROM (SELECT *, coalesce(status IN ('ok', 'empty'), false) AS g FROM f) WHERE host IS NOT NULL GROUP BY host),
-p AS (SELECT concat('h', id % 9) AS host, CASE id % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 206 END AS s, etag, last_modified, content_length, content_type, candidate FROM f WHERE id < 60 AND id % 9 <> 3),
+p AS (SELECT host, CASE id % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 206 END AS s, etag, last_modified, content_length, content_type, candidate FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY host, dataset ORDER BY id) AS nth FROM f WHERE host IS NOT NULL) WHERE nth = 1) WHERE place <= 3),
 asked AS (SELECT host, count(*) AS probes, count(*) FILTER (s IN (200, 206)) AS answered, count(*) FILTER (s = 206) AS ranged, count(*) FILTER (s <> 404 AND etag IS NULL AND last_modified IS NULL) AS pv, count(*) FILTER (s <> 404 AND content_length IS NULL) AS pl, count(*) FILTER (s <> 404 AND candidate IS NOT NULL AND {_GENERIC}) AS pg, count(*) FILTER (s <> 404 AND candidate IS NOT NULL) AS pt FROM p GROUP BY host),
 j AS (SELECT coalesce(seen.host, asked.host) AS host, coalesce(linked, 0) AS linked, coalesce(files, 0) AS files, coalesce(probes, 0) AS probes, coalesce(answered, 0) AS answered, coalesce(ranged, 0) AS ranged, coalesce(with_etag, 0) AS with_etag, coalesce(with_last_modified, 0) AS with_last_modified, coalesce(broken_links, 0) AS broken_links, coalesce(redirect_loops, 0) AS redirect_loops,
   CASE WHEN files > 0 THEN fv ELSE pv END AS without_validator, CASE WHEN files > 0 THEN fl ELSE pl END AS without_length, CASE WHEN files > 0 THEN files ELSE answered END AS "of", CASE WHEN files > 0 THEN fg ELSE pg END AS generic_type, CASE WHEN files > 0 THEN files ELSE pt END AS typed FROM seen FULL JOIN asked ON seen.host = asked.host)
@@ -70,7 +71,7 @@ _DELIVERED = _DELIVERY + """, d AS (SELECT *, CASE WHEN answered = 0 THEN 'unkno
 
 def _delivered(spark, sf):
     f = facts(spark, sf)
-    probes = f.where("id < 60 and id % 9 <> 3").selectExpr("concat('h', id % 9) AS host", "CASE id % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 206 END AS status", "etag", "last_modified", "content_length", "content_type", "candidate")
+    probes = P.probe_sample(f.where("host is not null").withColumn("pos", F.col("id"))).selectExpr("host", "CASE id % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 206 END AS status", "etag", "last_modified", "content_length", "content_type", "candidate")
     return R.delivery(f, probes)
 
 

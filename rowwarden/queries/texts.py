@@ -85,27 +85,13 @@ def description_fields(spark, sf):
     return d.select("doc_id", F.array_join(F.transform(D.fields_of_description(F.col("t")), lambda f: F.concat(f["name"], F.lit(":"), f["type"])), ",").alias("fields"))
 
 
-@query("SELECT lang, doc_id AS row_no, 'f' || doc_id AS name, source AS type, left(text, 20) AS description FROM documents WHERE doc_id >= 2")
+@query("SELECT lang, doc_id + 2 AS row_no, 'f' || doc_id AS name, source AS type, trim(text) AS description FROM documents")
 def dictionary_rows(spark, sf):
     d = table(spark, sf, "documents")
     langs = d.select("lang").distinct()
     head = langs.select("lang", F.lit(0).cast("bigint").alias("row_no"), F.array(F.lit("Title"), F.lit(""), F.lit("")).alias("cells")).union(langs.select("lang", F.lit(1).cast("bigint"), F.array(F.lit("Nome do Campo"), F.lit("Descrição"), F.lit("Tipo"))))
-    body = d.where("doc_id >= 2").select("lang", F.col("doc_id").alias("row_no"), F.array(F.concat(F.lit("f"), F.col("doc_id").cast("string")), F.left("text", F.lit(20)), "source").alias("cells"))
-    return D.fields_of_rows(head.union(body), ["lang"]).select("lang", "row_no", "name", "type", F.col("description")).withColumn("description", F.col("description"))
-
-
-SQL["dictionary_rows"] = SQL["dictionary_rows"].replace("left(text, 20)", "trim(left(text, 20))")
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE false")
-def json_records(spark, sf):
-    from ..operators.cells import records_as_rows
-
-    e = table(spark, sf, "events").where("false").select(F.col("event_id").cast("string").alias("resource_id"), F.col("event_id").alias("n"), F.from_json("props", "map<string,string>").alias("record"))
-    return records_as_rows(e, "n").select(F.col("n").alias("event_id"), F.element_at("cells", 1).alias("k"))
-
-
-del QUERIES["json_records"], SQL["json_records"]
+    body = d.select("lang", F.col("doc_id") + 2, F.array(F.concat(F.lit("f"), F.col("doc_id").cast("string")), "text", "source"))
+    return D.fields_of_rows(head.union(body), ["lang"]).select("lang", "row_no", "name", "type", "description")
 
 
 @query("SELECT user_id, array_to_string(list(DISTINCT k ORDER BY k), ',') AS header FROM (SELECT user_id, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props)) GROUP BY user_id")
@@ -113,7 +99,7 @@ def record_headers(spark, sf):
     from ..operators.cells import records_as_rows
 
     e = table(spark, sf, "events").select(F.col("user_id").alias("resource_id"), F.col("event_id").alias("n"), F.from_json("props", "map<string,string>").alias("record")).where("record is not null and size(record) > 0")
-    rows = records_as_rows(e, "n", first=1 << 62)
+    rows = records_as_rows(e, "n")
     return rows.select(F.col("resource_id").alias("user_id"), joined(F.array_sort("header")).alias("header")).distinct()
 
 
@@ -127,7 +113,7 @@ def text_chunks(spark, sf):
 def pdf_rows(spark, sf):
     """Rows of a table read by content: no SQL."""
     d = table(spark, sf, "documents")
-    rows = d.select("lang", F.col("doc_id").alias("row_no"), F.when(F.col("doc_id") % 3 == 0, F.array(F.left("text", F.lit(30)))).otherwise(F.array(F.concat(F.lit("campo_"), F.col("doc_id").cast("string")), F.lit("Cadeia de caracteres"), F.lit("20"), F.left("text", F.lit(30)))).alias("cells"))
+    rows = d.select("lang", F.col("doc_id").alias("row_no"), F.when(F.col("doc_id") % 3 == 0, F.array("text")).otherwise(F.array(F.concat(F.lit("campo_"), F.col("doc_id").cast("string")), F.lit("Cadeia de caracteres"), F.lit("20"), "text")).alias("cells"))
     return D.fields_of_pdf_rows(rows, "lang")
 
 

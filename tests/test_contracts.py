@@ -1,5 +1,7 @@
 """Types, inference, conformance and names: golden cases on small tables."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -117,7 +119,9 @@ def test_cells_and_records(spark):
     assert C.as_cells(df, "r", F.lit(1)).first().cells == ["1", "2", "2.5", "true", "", "[1,2]"]
     recs = spark.createDataFrame([("r", 0, {"A": "1", "B": "x"}), ("r", 1, {"A": "2"}), ("r", 5, {"A": "3", "Z": "late"})], "resource_id string, n int, record map<string,string>")
     got = {r.n: (r.header, r.cells) for r in C.records_as_rows(recs, "n", first=2).collect()}
-    assert got == {0: (["A", "B"], ["1", "x"]), 1: (["A", "B"], ["2", ""]), 5: (["A", "B"], ["3", "", "late"])}
+    assert got == {0: (["A", "B"], ["1", "x"]), 1: (["A", "B"], ["2", ""]), 5: (["A", "B"], ["3", "", ""])}
+    late = spark.createDataFrame([("q", 1500, {"K": "1"}), ("q", 1501, {"K": "2"}), ("e", 1, {})], recs.schema)
+    assert {(r.resource_id, r.n): (r.header, r.cells) for r in C.records_as_rows(late, "n").collect()} == {("q", 1500): (["K"], ["1"]), ("q", 1501): (["K"], ["2"]), ("e", 1): ([], [])}
 
 
 def test_ordinals_follow_the_keys(spark):
@@ -147,7 +151,10 @@ def test_oracle_and_position(spark):
 
 def test_text_functions(spark):
     assert one(spark, X.norm(F.lit("Não_é  fácil, ß!"))) == "nao e facil"
-    assert one(spark, X.ascii_fold_exact(F.lit("ﬁ½ªº"))) == "fi12ao"
+    words = ["ﬁnalidade", "codiﬁcação", "№ 3", "½ ano", "ªº", "𝐀𝟏", "㎏ ５", "⑴ Straße", "日本", None, "ÇÃÉ ñ", "a\u0301"]
+    want = [unicodedata.normalize("NFKD", w or "").encode("ascii", "ignore").decode() for w in words]
+    got = spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", X.ascii_fold(F.col("w")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == want and one(spark, X.norm(F.lit("ﬁnalidade № 3"))) == "finalidade no 3"
     assert one(spark, X.tokens(F.lit("Metadados - Termo de doação 2020 (CSV)"))) == ["termo", "doacao"]
     assert one(spark, X.clean_text(F.lit("a\x00b‮c" + "d" * 9), 5)) == "abcdd […]"
     assert one(spark, X.error_text(F.lit("ValueError"), F.lit("bad 'secret' here\nsecond"), F.lit(False))) == "ValueError: bad … here"

@@ -25,6 +25,23 @@ def test_tabular_dictionary(spark):
     assert [(r.k, r.name, r.type, r.description) for r in got] == [("d", "SEQ_TAD", "NUMBER(10)", "key"), ("d", "DAT_TAD", "DATE", "day")]
 
 
+def test_dictionaries_of_every_kind(spark):
+    nested = {"metadados": {"cabecalho": {"titulo": "t"}, "recursos": [{"identificador": "r", "titulo": "x", "formato": "csv"}], "campos": [{"codigo": "cnpj", "descricao": "id", "tipo": "texto", "tamanho": 14}, {"codigo": "valor", "descricao": "v", "tipo": "number"}]}}
+    book = XLSX | {"xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c t="inlineStr"><is><t>Title</t></is></c></row><row>' + "".join(f'<c t="inlineStr"><is><t>{x}</t></is></c>' for x in ("Nome da variável", "Descrição", "Tipo")) + "</row><row>" + "".join(f'<c t="inlineStr"><is><t>{x}</t></is></c>' for x in ("CO_ESCOLA", "code", "num")) + "</row></sheetData></worksheet>"}
+    data = {
+        "json": json.dumps(nested).encode(), "wide": json.dumps(nested).encode("utf-16"), "xml": b"<d><x><campo><nome_atributo>A</nome_atributo><datatype>int</datatype></campo><campo><nome_atributo>B</nome_atributo><datatype>text</datatype></campo></x></d>", "xlsx": archive(book),
+        "csv": "nome_entidade;nome_atributo;tipificacao;datatype;descricao\ne;SEQ_TAD;x;NUMBER;é\ne;UF;x;VARCHAR;f\n".encode("cp1252"), "page": b"<!DOCTYPE html><html>", "cut": b'{"a": [', "none": b"a,b\n1,2\n", "list": b'{"a": [{"x": 1}]}', "ods": archive(ODS), "gone": None,
+    }
+    files = spark.createDataFrame([(k, {"ods": "ODS"}.get(k, "CSV"), None if v is None else bytearray(v)) for k, v in data.items()], "path string, format string, content binary")
+    fields, outcomes = D.read_dictionaries(files)
+    got = {}
+    for r in fields.orderBy("path", "row_no").collect():
+        got.setdefault((r.path, r.part), []).append((r.name, r.type))
+    assert got == {("json", "metadados.campos"): [("cnpj", "texto"), ("valor", "number")], ("wide", "metadados.campos"): [("cnpj", "texto"), ("valor", "number")], ("xml", "x.campo"): [("A", "int"), ("B", "text")], ("xlsx", "S1"): [("CO_ESCOLA", "num")], ("csv", ""): [("SEQ_TAD", "NUMBER"), ("UF", "VARCHAR")]}
+    kinds = {r.path: r.error_kind for r in outcomes.collect()}
+    assert kinds == {"json": None, "wide": None, "xml": None, "xlsx": None, "csv": None, "page": "html-page", "cut": "malformed", "none": "no-field-table", "list": "no-field-table", "ods": "format-not-read", "gone": "download-failed"}
+
+
 def test_descriptions(spark):
     text = "About.\nDicionário de dados:\n* **UF**: Sigla. Formato: texto;\n* SEQ_TAD – Chave\n- `x`: third\n* **UF**: again\nno item"
     got = spark.range(1).select(D.fields_of_description(F.lit(text)).alias("f"), D.fields_of_description(F.lit("Dicionário de dados:\n* a: one")).alias("g"), D.fields_of_description(F.lit("* a: 1\n* b: 2")).alias("h")).first()
@@ -377,10 +394,13 @@ def test_type_findings_of_whole_values(spark, tmp_path):
     late = "palavra " * 6 + "varchar"
     spark.createDataFrame([("b", "NUMBER(9)"), ("b", "NUMBER(9)"), ("b", "")], "p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(1, late), (2, "nada " * 10)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.dictionary: r for r in QUERIES["type_findings_whole"](spark, str(tmp_path)).collect()}
-    assert json.loads(got["part b"].type_spellings) == {"": 1, "NUMBER(9)": 2} and got["part b"].fields_untyped == 1
-    assert json.loads(got["document 1"].unmapped_types) == [] and json.loads(got["document 1"].type_spellings) == {late: 1}
-    assert json.loads(got["document 2"].unmapped_types) == [("nada " * 10).strip()]
+    spark.createDataFrame([(4, 2, "x")], "c_custkey long, c_nationkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.dictionary: r for r in QUERIES["type_findings"](spark, str(tmp_path)).collect()}
+    assert (got["part b"].spellings, got["part b"].fields_untyped, got["part b"].unmapped) == (2, 1, 1)
+    assert (got["document 1"].unmapped, got["document 2"].unmapped, got["customer 2"].date_fields_with_format) == (0, 1, 1)
+    fields = spark.createDataFrame([("b", "NUMBER(9)"), ("b", "NUMBER(9)"), ("b", "nada")], "d string, type string")
+    found = D.type_findings(fields, "d").first()
+    assert found.type_spellings == {"NUMBER(9)": 2, "nada": 1} and found.unmapped_types == ["nada"]
 
 
 def test_name_tokens_of_whole_texts(spark, tmp_path):
@@ -388,7 +408,7 @@ def test_name_tokens_of_whole_texts(spark, tmp_path):
 
     words = [f"palavra{i}" for i in range(100)]
     spark.createDataFrame([(1, " ".join(words)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.tokens for r in QUERIES["name_tokens_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.tokens for r in QUERIES["name_tokens"](spark, str(tmp_path)).collect()}
     assert got == {1: ",".join(sorted(words)), 2: ""}
 
 
@@ -404,7 +424,7 @@ def test_similar_names_of_whole_lists(spark, tmp_path):
 def test_samples_are_by_ordinal(spark, tmp_path):
     from rowwarden.queries import QUERIES
 
-    spark.range(9_000, 15_000, 1).selectExpr("id AS event_id", "'a' AS event_type", "id % 10 AS user_id", "timestamp'2024-01-02 03:04:05' AS ts").write.parquet(f"{tmp_path}/events.parquet")
-    assert [(r.pos, r.type) for r in QUERIES["observed_header"](spark, str(tmp_path)).orderBy("pos").collect()] == [(0, "integer"), (1, "string"), (2, "number")]
+    spark.range(9_000, 15_000, 1).selectExpr("id AS event_id", "'a' AS event_type", "id % 10 AS user_id", "timestamp'2024-01-02 03:04:05' AS ts", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r.pos, r.type) for r in QUERIES["observed_header"](spark, str(tmp_path)).orderBy("pos").collect()] == [(0, "integer"), (1, "string"), (2, "number"), (3, "any")]
     got = {r.pos: r for r in QUERIES["infer_types"](spark, str(tmp_path)).collect()}
     assert len(got) == 11 and got[0].type == "integer" and got[9].sampleEmptyShare == round(1667 / 5000, 4)
