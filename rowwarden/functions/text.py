@@ -158,6 +158,11 @@ def host(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), F.lit("")))
 
 
+def next_run(day: Column) -> Column:
+    """The Monday after a day: when the weekly run is."""
+    return F.next_day(day, "MO")
+
+
 def media_type(c: Column) -> Column:
     return F.lower(F.trim(F.split_part(F.coalesce(c, F.lit("")), F.lit(";"), F.lit(1))))
 

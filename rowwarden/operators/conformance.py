@@ -20,6 +20,8 @@ MAX_ERROR_RATE = 0.01
 ROWS_KEPT = 5
 #: Contract fields that are sent to every executor; larger contracts are joined by a shuffle.
 MAX_BROADCAST_FIELDS = 200_000
+#: Distinct checks of all contracts up to which each is an expression of its own.
+SPELLED_OUT = 64
 #: What narrows a field beyond its name and type, with the kind of each column.
 NARROWING = {
     "format": "string", "decimalChar": "string", "groupChar": "string", "trueValues": "array<string>", "falseValues": "array<string>", "required": "boolean", "minLength": "int",
@@ -54,8 +56,8 @@ def match_fields(names: Column, header: Column) -> Column:
     return F.struct(exact.alias("exact"), pairs.alias("spelling"), F.filter(names, lambda n: ~F.array_contains(F.concat(exact, near), n)).alias("missing"), F.filter(header, lambda h: ~F.array_contains(used, h)).alias("undeclared"))
 
 
-def failures(value: Column, f: Column) -> Column:
-    """What an unempty value breaks of a field: `type`, or else the constraints it breaks."""
+def tests_of(value: Column, f) -> tuple[Column, dict[str, Column]]:
+    """Whether an unempty value is of a field's type, and by kind whether it breaks a constraint (null: no such constraint). f: a struct, or a dict of columns."""
     default = lambda c, x: F.coalesce(c, F.array(*map(F.lit, x)))
     number = plain_number(value, f["decimalChar"], f["groupChar"])
     iso = F.coalesce(*[F.when(fits_format(value, x), F.lit(True)) for x in DATETIME_FORMATS if x[2:4] == "-%" or x.startswith("%Y-")], F.lit(False))
@@ -77,8 +79,31 @@ def failures(value: Column, f: Column) -> Column:
         "minLength": F.char_length(value) < f["minLength"], "maxLength": F.char_length(value) > f["maxLength"], "minimum": below, "maximum": above,
         "pattern": ~F.regexp_like(value, F.concat(F.lit("^(?:"), f["pattern"], F.lit(")$"))), "enum": ~F.array_contains(f["enum"], value),
     }
+    return F.coalesce(good, F.lit(False)), tests
+
+
+def failures(value: Column, f: Column) -> Column:
+    """What an unempty value breaks of a field: `type`, or else the constraints it breaks."""
+    good, tests = tests_of(value, f)
     broken = F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
-    return F.when(~F.coalesce(good, F.lit(False)), F.array(F.lit("type"))).otherwise(broken)
+    return F.when(~good, F.array(F.lit("type"))).otherwise(broken)
+
+
+#: What a failure is: its field and its kind.
+FAILURE = "struct<field:string,kind:string>"
+#: Constraints by kind, and the column of a contract that states each.
+STATED = {"minLength": "minLength", "maxLength": "maxLength", "minimum": "minimum", "maximum": "maximum", "pattern": "pattern", "enum": "enum"}
+
+
+def spelled_out(check, number: int) -> list[Column]:
+    """The failures of one known check (at, f) as columns, null where there is none: its type, format and constraints are constants, so Spark compiles what is left of them."""
+    value = F.coalesce(F.try_element_at("cells", F.lit(check["at"])), F.lit(""))
+    literal = lambda v, kind: (F.array(*map(F.lit, v)) if isinstance(v, list) and v else F.lit(None if isinstance(v, list) else v)).cast(kind)
+    f = {"type": F.lit(check["f"]["type"])} | {c: literal(check["f"][c], k) for c, k in NARROWING.items()}
+    good, tests = tests_of(value, f)
+    asked = F.array_contains("check_nos", number) & (value != "")
+    failure = lambda kind: F.struct(F.lit(check["f"]["name"]).alias("field"), F.lit(kind).alias("kind")).cast(FAILURE)
+    return [F.when(asked & ~good, failure("type"))] + [F.when(asked & good & F.coalesce(tests[k], F.lit(False)), failure(k)) for k, c in STATED.items() if check["f"][c] is not None]
 
 
 @dataclass(frozen=True)
@@ -95,22 +120,31 @@ def check(cells: DataFrame, contract: DataFrame) -> Checked:
     fields = gathered(contract)
     if contract.limit(MAX_BROADCAST_FIELDS + 1).count() <= MAX_BROADCAST_FIELDS:
         fields = F.broadcast(fields)
-    headers = cells.groupBy("resource_id").agg(F.min_by("header", F.struct("member", "row_no")).alias("header"))
-    matches = headers.join(fields, "resource_id").select("resource_id", match_fields(F.transform("fields", lambda f: f["name"]), F.col("header")).alias("m")).select("resource_id", "m.*")
-    # which cell each field is in is worked out once a header, not once a row
+    # headers are told apart by a hash; which cell each field is in is worked out once a header, not once a row
+    keyed = cells.withColumn("header_key", F.xxhash64("header"))
     header, cleaned = F.col("header"), F.transform("header", norm)
     place = lambda f: F.when(F.array_contains(header, f["name"]), last_place(header, f["name"])).otherwise(last_place(cleaned, norm(f["name"])))
     checks = F.filter(F.transform(F.filter("fields", lambda f: f["type"] != "any"), lambda f: F.struct(place(f).alias("at"), f.alias("f"))), lambda c: c["at"] > 0)
-    heads = written(cells.select("resource_id", "header").distinct().join(fields, "resource_id").select("resource_id", "header", checks.alias("checks")), "heads")
-    if heads.select(F.explode("checks")).limit(MAX_BROADCAST_FIELDS + 1).count() <= MAX_BROADCAST_FIELDS:
-        heads = F.broadcast(heads)
-    placed = cells.join(heads, ["resource_id", "header"], "left")
-    totals = placed.groupBy("resource_id", "member").agg(F.count("*").alias("rows"), F.count_if(F.size("cells") != F.size("header")).alias("ragged_rows"), F.coalesce(F.sum(F.size("checks")), F.lit(0)).cast("bigint").alias("cells_checked"))
-    value = lambda c: F.coalesce(F.try_element_at("cells", c["at"]), F.lit(""))
-    failing = F.flatten(F.transform("checks", lambda c: F.when(value(c) == "", F.array().cast("array<struct<field:string,kind:string>>")).otherwise(F.transform(failures(value(c), c["f"]), lambda k: F.struct(c["f"]["name"].alias("field"), k.alias("kind"))))))
-    single = placed.select("resource_id", "member", "row_no", F.explode(failing).alias("x")).select("resource_id", "member", "row_no", "x.*")
-    # two aggregates read the failures: cells are checked once, and what failed is written
-    return Checked(totals, first_rows(written(single, "failures"), ["resource_id", "field", "kind"]), matches)
+    seen = keyed.groupBy("resource_id", "header_key").agg(F.first("header").alias("header"), F.min(F.struct("member", "row_no")).alias("first"))
+    heads = written(seen.join(fields, "resource_id").withColumn("checks", checks), "heads")
+    matches = heads.groupBy("resource_id").agg(F.min_by(F.struct("header", "fields"), "first").alias("h")).select("resource_id", match_fields(F.transform("h.fields", lambda f: f["name"]), F.col("h.header")).alias("m")).select("resource_id", "m.*")
+    heads = heads.select("resource_id", "header_key", "checks")
+    single = heads.select(F.explode("checks").alias("c"))
+    distinct = single.select(F.to_json("c", {"ignoreNullFields": "false"}).alias("text"), "c").dropDuplicates(["text"]).limit(SPELLED_OUT + 1).orderBy("text").collect()
+    if len(distinct) <= SPELLED_OUT:  # a few checks, however many rows: each is compiled for itself
+        heads = heads.select("resource_id", "header_key", F.size("checks").alias("n_checks"), F.transform("checks", lambda c: F.array_position(F.array(*[F.lit(d.text) for d in distinct]).cast("array<string>"), F.to_json(c, {"ignoreNullFields": "false"})).cast("int")).alias("check_nos"))
+        failing = F.array(*[x for i, d in enumerate(distinct, 1) for x in spelled_out(d.c, i)]).cast(f"array<{FAILURE}>")
+    else:
+        heads = heads.withColumn("n_checks", F.size("checks"))
+        value = lambda c: F.coalesce(F.try_element_at("cells", c["at"]), F.lit(""))
+        failing = F.flatten(F.transform("checks", lambda c: F.when(value(c) == "", F.array().cast(f"array<{FAILURE}>")).otherwise(F.transform(failures(value(c), c["f"]), lambda k: F.struct(c["f"]["name"].alias("field"), k.alias("kind"))))))
+    small = len(distinct) <= SPELLED_OUT or heads.select(F.explode("checks")).limit(MAX_BROADCAST_FIELDS + 1).count() <= MAX_BROADCAST_FIELDS
+    placed = keyed.join(F.broadcast(heads) if small and heads.limit(MAX_BROADCAST_FIELDS + 1).count() <= MAX_BROADCAST_FIELDS else heads, ["resource_id", "header_key"], "left")
+    # one pass over the cells: what each row gives is written, and both results are made of that
+    rows = written(placed.select("resource_id", "member", "row_no", (F.size("cells") != F.size("header")).alias("ragged"), F.coalesce("n_checks", F.lit(0)).alias("n_checks"), F.when(F.col("n_checks") > 0, failing).alias("failing")), "checked")
+    totals = rows.groupBy("resource_id", "member").agg(F.count("*").alias("rows"), F.count_if("ragged").alias("ragged_rows"), F.sum("n_checks").cast("bigint").alias("cells_checked"))
+    broken = rows.select("resource_id", "member", "row_no", F.explode("failing").alias("x")).where("x is not null").select("resource_id", "member", "row_no", "x.*")
+    return Checked(totals, first_rows(broken, ["resource_id", "field", "kind"]), matches)
 
 
 def first_rows(failing: DataFrame, key: list[str], keep: int = ROWS_KEPT) -> DataFrame:

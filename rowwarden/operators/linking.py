@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, header_score, jaccard, name_score, norm, tokens
+from ..functions.text import basename, dataset_names, header_score, jaccard, name_score, norm, tokens
 
 #: Methods, from the weakest.
 METHODS = ("single", "name", "header", "declared-id")
@@ -79,3 +79,9 @@ def borrowed_descriptions(resources: DataFrame, enough: float = 0.99) -> DataFra
     keyed = resources.withColumn("key", F.array_join(F.array_sort(tokens(F.col("name"))), " ")).where("key <> ''")
     lacks, has = keyed.where("n_described = 0").alias("a"), keyed.where("n_described > 0").alias("b")
     return lacks.join(has, ["dataset", "key"]).groupBy("dataset", F.col("a.id").alias("id")).agg(F.min_by("b.id", "b.pos").alias("from_id"))
+
+
+def other_datasets(dictionaries: DataFrame) -> DataFrame:
+    """dataset, dictionary_id and the names of other datasets that a dictionary's text cites, such as one it was copied from."""
+    cited = F.array_except(dataset_names(F.col("text")), F.array("dataset"))
+    return dictionaries.select("dataset", "dictionary_id", cited.alias("names_other_dataset")).where(F.size("names_other_dataset") > 0)

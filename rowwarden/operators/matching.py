@@ -83,3 +83,15 @@ def agreement(o: Column) -> Column:
     return F.coalesce(F.least(o["recall"], o["precision"]), F.lit(0.0))
 
 
+
+
+def with_spelling(missing: Column, extra: Column) -> Column:
+    """Struct of paired names of two formats of a table, and whether they differ in spelling only."""
+    paired = pair_spelling(missing, extra)
+    return F.struct(paired["pairs"].alias("spelling"), ((F.size(paired["missing"]) == 0) & (F.size(paired["extra"]) == 0)).alias("spelling_only"))
+
+
+def similar_of(record: Column, *keys: str) -> Column:
+    """The pairs of alike names of a stored record (JSON): under the first of its keys that has any."""
+    found = [F.get_json_object(record, f"$.{k}") for k in keys or ("similar_names", "probable_typos")]
+    return F.coalesce(*[F.when(~x.isin("{}", ""), F.from_json(x, "map<string,string>")) for x in found], F.create_map().cast("map<string,string>"))

@@ -146,3 +146,8 @@ def history(previous: Column, day: Column, passed: Column) -> Column:
     """The last twelve verdicts: an earlier list of (day, pass) with the new one, if there is one."""
     whole = F.when(passed.isNull(), F.coalesce(previous, F.array().cast("array<struct<day:string,pass:boolean>>"))).otherwise(F.concat(F.coalesce(previous, F.array().cast("array<struct<day:string,pass:boolean>>")), F.array(F.struct(day.alias("day"), passed.alias("pass")))))
     return F.slice(whole, F.greatest(F.size(whole) - HISTORY + 1, F.lit(1)), HISTORY)
+
+
+def first_seen(tables: DataFrame, earlier: DataFrame, now: Column) -> DataFrame:
+    """id and first_seen: as remembered, else the day of the first check there is a record of, else now. earlier: id, first_seen, validated_at, checked_at."""
+    return tables.select("id").join(earlier, "id", "left").select("id", F.coalesce("first_seen", "validated_at", "checked_at", now).alias("first_seen"))

@@ -7,6 +7,8 @@ last_modified, content_length, content_type, served_by. Each report is one aggre
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,6 +196,15 @@ def transitions(verdicts: DataFrame, since: Column) -> DataFrame:
     return last.agg(F.count_if(~F.col("before") & F.col("pass")).alias("fixed"), F.count_if(F.col("before") & ~F.col("pass")).alias("broken"), F.count_if(F.col("before") == F.col("pass")).alias("same"))
 
 
+def run_transitions(verdicts: DataFrame, tables: DataFrame, first_seen: DataFrame, since: Column) -> DataFrame:
+    """One row of what a run changed: files fixed, broken and the same by their last two verdicts (id, at, pass), files first
+    seen since then (id, first_seen), and files with a verdict that are no longer among the tables (id)."""
+    here = verdicts.join(tables.select("id"), "id", "left_semi")
+    gone = verdicts.select("id").distinct().join(tables.select("id"), "id", "left_anti").agg(F.count("*").alias("gone"))
+    new = tables.select("id").distinct().join(first_seen, "id").agg(F.count_if(F.col("first_seen") >= since).alias("new"))
+    return transitions(here, since).crossJoin(F.broadcast(new)).crossJoin(F.broadcast(gone))  # of one row each
+
+
 def upserted_history(history: DataFrame, row: DataFrame) -> DataFrame:
     """history with the row of this run: the later report of one `at` replaces the earlier."""
     order = Window.partitionBy("at").orderBy(F.desc("report_at"))
@@ -221,6 +232,28 @@ def unread_reasons(dictionaries: DataFrame) -> DataFrame:
     return dictionaries.where((F.col("kind") == "machine") & ~F.col("readable") & (F.coalesce("error_kind", F.lit("other")) != "unreachable")).groupBy(F.coalesce("error_kind", F.lit("other")).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
+def searched_pairs(pairs: DataFrame, text: str) -> DataFrame:
+    """Pairs of alike names (title, dataset, file, declared, column) of which one text holds `text`, without case."""
+    sought = F.lit(text.strip().lower())
+    return pairs.where(reduce(lambda a, b: a | b, [F.lower(F.coalesce(c, F.lit(""))).contains(sought) for c in ("title", "dataset", "file", "declared", "column")]))
+
+
+def pdf_dictionaries(dictionaries: DataFrame, links: DataFrame, records: DataFrame) -> DataFrame:
+    """Every PDF dictionary that describes a file, and what became of it.
+
+    dictionaries: dataset, dictionary_id, name, format. links: dictionary_id, table_id. records: dictionary_id, outcome, stage, recall, precision.
+    """
+    files = links.groupBy("dictionary_id").agg(F.count_distinct("table_id").alias("files"))
+    listed = dictionaries.where("format = 'PDF'").join(files, "dictionary_id").join(records, "dictionary_id", "left")
+    return listed.select("dataset", "dictionary_id", "name", "files", F.coalesce("outcome", F.lit("pending")).alias("outcome"), "stage", "recall", "precision")
+
+
+def failure_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """kind and n of the failed requests between two counts (kind, n); kinds that did not grow are left out."""
+    more = F.col("n") - F.coalesce("old", F.lit(0))
+    return after.join(before.withColumnRenamed("n", "old"), "kind", "left").select("kind", more.alias("n")).where("n > 0")
+
+
 def similar_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs of alike names (dataset, declared, column, similarity), the most alike first."""
     return pairs.orderBy(F.desc("similarity"), "dataset", "declared")

@@ -402,7 +402,7 @@ def header_decides(spark, sf):
 has AS (SELECT dataset, name, min(id) AS from_id FROM r WHERE n > 0 GROUP BY dataset, name)
 SELECT r.dataset, r.id, from_id FROM r JOIN has USING (dataset, name) WHERE n = 0""")
 def borrowed_descriptions(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.concat(F.lit("dados "), "lang", F.lit(" csv")).alias("name"), (F.col("n_chars") % 4).alias("n_described"))
+    d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.concat(F.lit("dados x"), "lang", F.lit(" csv")).alias("name"), (F.col("n_chars") % 4).alias("n_described"))
     return linking.borrowed_descriptions(d)
 
 
@@ -432,3 +432,79 @@ def similar_pairs(spark, sf):
     pairs = table(spark, sf, "customer").select(F.concat(F.lit("d"), F.col("c_nationkey").cast("string")).alias("dataset"), F.col("c_name").alias("declared"), F.col("c_name").alias("column"), F.col("c_acctbal").alias("similarity"))
     placed = with_ordinals(reporting.similar_pairs(pairs).withColumn("at", F.monotonically_increasing_id()), "at")
     return placed.select(F.col("row_no").cast("bigint").alias("place"), "dataset", "declared")
+
+
+# --- what a run remembers
+
+@query("""WITH v AS (SELECT user_id AS id, ts, value > 20 AS pass FROM events WHERE event_type <> 'error'), h AS (SELECT DISTINCT user_id AS id FROM events WHERE value > 80),
+o AS (SELECT *, lag(pass) OVER (PARTITION BY id ORDER BY ts) AS before, row_number() OVER (PARTITION BY id ORDER BY ts DESC) AS nth FROM v WHERE id IN (SELECT id FROM h)),
+l AS (SELECT * FROM o WHERE nth = 1 AND ts >= TIMESTAMP '2024-01-02' AND before IS NOT NULL)
+SELECT count(*) FILTER (NOT before AND pass) AS fixed, count(*) FILTER (before AND NOT pass) AS broken, count(*) FILTER (before = pass) AS same,
+  (SELECT count(*) FROM (SELECT user_id, min(ts) AS f FROM events WHERE user_id IN (SELECT id FROM h) GROUP BY user_id) WHERE f >= TIMESTAMP '2024-01-02') AS "new", (SELECT count(DISTINCT id) FROM v WHERE id NOT IN (SELECT id FROM h)) AS gone FROM l""")
+def run_transitions(spark, sf):
+    """Files of users that have a value over 80 are still in the portal."""
+    e = table(spark, sf, "events")
+    v = e.where("event_type <> 'error'").selectExpr("user_id AS id", "ts AS at", "value > 20 AS pass")
+    here = e.where("value > 80").selectExpr("user_id AS id").distinct()
+    seen = e.groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("first_seen"))
+    return reporting.run_transitions(v, here, seen, F.lit("2024-01-02").cast("timestamp_ntz"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN DATE '2024-01-01' WHEN 1 THEN DATE '2024-02-02' WHEN 2 THEN DATE '2024-03-03' ELSE DATE '2024-09-09' END AS first_seen FROM customer")
+def first_seen(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    day = lambda k, d: F.when(F.col("id") % 4 <= k, F.lit(d)).cast("date")
+    earlier = c.select("id", day(0, "2024-01-01").alias("first_seen"), day(1, "2024-02-02").alias("validated_at"), day(2, "2024-03-03").alias("checked_at"))
+    return planning.first_seen(c, earlier, F.lit("2024-09-09").cast("date"))
+
+
+@query("SELECT event_type AS kind, count(*) - count(*) FILTER (value < 50) AS n FROM events GROUP BY event_type HAVING count(*) > count(*) FILTER (value < 50)")
+def failure_deltas(spark, sf):
+    e = table(spark, sf, "events").withColumnRenamed("event_type", "kind")
+    return reporting.failure_deltas(e.where("value < 50").groupBy("kind").agg(F.count("*").alias("n")), e.groupBy("kind").agg(F.count("*").alias("n")))
+
+
+@query("SELECT event_id, (date_trunc('week', ts) + INTERVAL 7 DAY)::DATE AS next FROM events")
+def next_runs(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.next_run(F.col("ts").cast("date")).alias("next"))
+
+
+@query("SELECT 'd' || source AS dataset, doc_id AS dictionary_id, 'src' || lang || CASE WHEN doc_id % 2 = 0 THEN ',other' ELSE '' END AS names FROM documents")
+def other_datasets(spark, sf):
+    d = table(spark, sf, "documents")
+    text = F.concat(F.lit("see http://p/dataset/src"), "lang", F.lit("/x and /dataset/d"), "source", F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "/dataset/other\n").otherwise(""), "text")
+    return linking.other_datasets(d.select(F.concat(F.lit("d"), "source").alias("dataset"), F.col("doc_id").alias("dictionary_id"), text.alias("text"))).select("dataset", "dictionary_id", joined("names_other_dataset").alias("names"))
+
+
+@query("SELECT 'd' || n_regionkey AS dataset, n_nationkey AS dictionary_id, count(DISTINCT c_custkey) AS files, CASE WHEN n_nationkey % 3 = 0 THEN 'pending' ELSE 'extracted' END AS outcome FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY ALL")
+def pdf_dictionaries(spark, sf):
+    n = table(spark, sf, "nation")
+    d = n.select(F.concat(F.lit("d"), F.col("n_regionkey").cast("string")).alias("dataset"), F.col("n_nationkey").alias("dictionary_id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "PDF").otherwise("CSV").alias("format"))
+    links = table(spark, sf, "customer").select(F.col("c_nationkey").alias("dictionary_id"), F.col("c_custkey").alias("table_id"))
+    records = n.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("dictionary_id"), F.lit("extracted").alias("outcome"), F.lit("deterministic").alias("stage"), F.lit(1.0).alias("recall"), F.lit(1.0).alias("precision"))
+    return reporting.pdf_dictionaries(d, links, records).select("dataset", "dictionary_id", "files", "outcome")
+
+
+@query("SELECT c_custkey AS declared FROM customer WHERE contains(lower(c_mktsegment), 'auto') OR contains(lower(c_name), 'auto')")
+def searched_pairs(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("title"), F.lit(None).cast("string").alias("dataset"), F.col("c_name").alias("file"), F.col("c_custkey").cast("string").alias("declared"), F.lit("x").alias("column"))
+    return reporting.searched_pairs(c, " AUTO ").select(F.col("declared").cast("bigint").alias("declared"))
+
+
+@query("SELECT n_regionkey, n_regionkey % 2 = 0 AS spelling_only FROM nation GROUP BY n_regionkey")
+def spelling_only(spark, sf):
+    """Two formats of a table whose columns differ in how they are written, and in one region by a column."""
+    from ..operators import matching
+
+    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("Codigo da "), "n_name"))).alias("missing"), F.array_sort(F.collect_list(F.concat(F.lit("codigo"), F.regexp_replace(F.initcap("n_name"), "_", "")))).alias("extra"))
+    odd = n.withColumn("extra", F.when(F.col("n_regionkey") % 2 == 0, F.col("extra")).otherwise(F.concat("extra", F.array(F.lit("qq zz")))))
+    return odd.select("n_regionkey", matching.with_spelling(F.col("missing"), F.col("extra"))["spelling_only"].alias("spelling_only"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a=b' WHEN 1 THEN 'c=d' ELSE '' END AS pairs FROM events")
+def similar_of(spark, sf):
+    from ..operators import matching
+
+    record = F.expr("CASE event_id % 3 WHEN 0 THEN '{\"similar_names\": {\"a\": \"b\"}, \"probable_typos\": {\"x\": \"y\"}}' WHEN 1 THEN '{\"similar_names\": {}, \"probable_typos\": {\"c\": \"d\"}}' ELSE '{}' END")
+    pairs = F.array_join(F.transform(F.map_entries(matching.similar_of(record)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return table(spark, sf, "events").select("event_id", pairs.alias("pairs"))
