@@ -44,7 +44,7 @@ STAGES = [
     ("source mixing", source_mixing),
     ("SentencePiece encoding", encoding),
 ]
-#: Hashed models, components and the encoding have no SQL; the pipeline is tested against its stages' brute-force versions.
+#: Hashed models, components and the encoding have no SQL; the result is tested against the five stages in plain Python.
 ORACLE_SQL = None
 
 
