@@ -314,6 +314,65 @@ def test_census_of_a_portal(spark):
     assert portal.get("u", flaky, backoff=0)[2] == b"ok" and len(tries) == 3
 
 
+def test_two_runs_in_a_row(spark):
+    """Levels 0 to 4, schemas by precedence, events, history, files that are new, fixed, broken and gone."""
+    schema = {"fields": [{"name": "A", "type": "integer", "constraints": {"minimum": 1}}, {"name": "B", "type": "string", "constraints": {"maxLength": 3}}]}
+    file = lambda i, **x: {"id": i, "name": f"tabela {i}", "format": "CSV", "url": f"http://h/{i}.csv", "size": 5} | x
+    book = json.dumps({"meta": {"campos": [{"codigo": "A", "tipo": "inteiro"}, {"codigo": "B", "tipo": "varchar"}]}, "see": "http://p/resource/declared /dataset/other"})
+    first = [file("attached", schema=json.dumps(schema)), file("bad", schema='{"fields": []}'), file("listed", description="Dicionário de dados\n* A: tipo: inteiro\n* B: texto"), file("gone"), {"id": "dic", "name": "Dicionário declared", "format": "JSON", "url": "http://h/dic.json"}, file("declared")]
+    package = lambda resources: portal.resources(spark.createDataFrame([("ds", json.dumps({"title": "t", "resources": resources}))], "name string, package string"))
+    open_ = lambda method, url, headers: (200, {}, book.encode())
+    headers = spark.createDataFrame([("declared", ["A", "B"]), ("gone", ["Z"])], "table_id string, header array<string>")
+    store = spark.createDataFrame([("gone", 0, "Z", "int4"), ("listed", 0, "A", "text")], "resource_id string, pos int, name string, store_type string")
+    survey = lifecycle.census(spark, package(first), open_, headers=headers, store=store)
+    assert {r.id: r.level for r in survey.tables.collect()} == {"attached": 3, "bad": 0, "listed": 1, "gone": 3, "declared": 2}
+    assert {(r.resource_id, r.kind) for r in survey.schemas.collect()} == {("attached", "attached"), ("listed", "described"), ("gone", "datastore"), ("declared", "declared")}
+    assert [(r.table_id, r.dictionary_id, r.method) for r in survey.links.collect()] == [("declared", "dic", "header")]
+    assert {(r.resource_id, r.name, r.type, r.maxLength, r.minimum) for r in survey.contracts.where("resource_id = 'attached'").collect()} == {("attached", "A", "integer", None, "1"), ("attached", "B", "string", 3, None)}
+    assert [r.names_other_dataset for r in survey.dictionaries.collect()] == [["other"]] and survey.findings.count() == 1 and survey.copies.count() == 0
+    content = lambda **x: spark.createDataFrame([(k, bytearray(v.encode())) for k, v in x.items()], "path string, content binary")
+    one = lifecycle.run(spark, survey, content(attached="A;B\n0;x\n", declared="A;B\n1;x\n", gone="Z\n1\n", listed="<html>"), datetime(2024, 1, 1, 8))
+    state = {r.id: r for r in one.state.collect()}
+    assert {k: (r.status, r["pass"]) for k, r in state.items()} == {"attached": ("ok", False), "declared": ("ok", True), "gone": ("ok", True), "listed": ("not-tabular", None)}
+    assert one.events.count() == 0 and one.changes.first().asDict() == {"fixed": 0, "broken": 0, "same": 0, "new": 4, "gone": 0}
+
+    second = [x for x in first if x["id"] != "gone"] + [file("late")]
+    again = lifecycle.census(spark, package(second), open_, headers=headers.where("table_id <> 'gone'"), store=store.where("resource_id <> 'gone'"))
+    two = lifecycle.run(spark, again, content(attached="A;B\n5;x\n", declared="A;B;C\nn;x;1\n", late="Q\n1\n"), datetime(2024, 1, 8, 8), one.state, one.validation.observed, survey.contracts)
+    state = {r.id: r for r in two.state.collect()}
+    assert [(h.day, h["pass"]) for h in state["attached"].pass_history] == [("2024-01-01", False), ("2024-01-08", True)] and state["attached"].first_seen == datetime(2024, 1, 1, 8) and state["late"].first_seen == datetime(2024, 1, 8, 8)
+    events = {(r.resource_id, r.kind, tuple(r.columns_added), tuple(r.columns_removed)) for r in two.events.collect()}
+    assert events == {("declared", "observed", ("C",), ()), ("gone", "declared", (), ("Z",))}
+    assert two.changes.first().asDict() == {"fixed": 1, "broken": 1, "same": 0, "new": 1, "gone": 1}
+    level = again.tables.join(two.state.select("id", "pass"), "id").select("id", reporting.table_level(F.col("level"), F.col("pass")).alias("level"))
+    assert {r.id: r.level for r in level.collect()}["attached"] == 4
+    third = lifecycle.run(spark, again, content(declared="A;B;C\nn;x;1\n"), datetime(2024, 1, 15, 8), two.state, one.validation.observed, survey.contracts, two.events)
+    assert third.events.count() == 0  # what the log holds is not appended again
+
+
+def test_extraction_of_pdf_dictionaries(spark):
+    dictionaries = spark.createDataFrame([("p1", "PDF"), ("p2", "PDF"), ("p3", "PDF"), ("c", "CSV")], "dictionary_id string, format string")
+    links = spark.createDataFrame([("p1", "r1", 0), ("p1", "r2", 1), ("p1", "r3", 2), ("p2", "r4", 0)], "dictionary_id string, resource_id string, pos int")
+    headers = spark.createDataFrame([("r1", ["A", "B"]), ("r2", ["A"]), ("r3", ["A", "B"])], "resource_id string, header array<string>")
+    fields = spark.createDataFrame([("p1", 0, "A"), ("p1", 1, "B"), ("p2", 0, "X")], "dictionary_id string, row_no int, name string")
+    got = {r.dictionary_id: (r.n_fields, r.recall, r.precision, r.outcome) for r in lifecycle.extract(dictionaries, links, headers, fields).collect()}
+    assert got == {"p1": (2, 1.0, 1.0, "extracted"), "p2": (1, None, None, "suggested"), "p3": (0, None, None, "llm-needed")}
+
+
+def test_spelled_out_checks_give_what_general_ones_give(spark, monkeypatch):
+    from rowwarden.operators import conformance
+
+    header = ["i", "n", "d", "b", "s"]
+    rows = spark.createDataFrame([("r", "", k, header, [str(k), f"{k},5", f"0{k % 9 + 1}/01/2024", "S" if k % 2 else "x", "v" * (k % 5)][: 5 - k % 2]) for k in range(1, 40)] + [("q", "m", 1, ["i"], ["zz"])], "resource_id string, member string, row_no long, header array<string>, cells array<string>")
+    fields = spark.createDataFrame([("r", 0, "i", "integer", None, None, "20", None, None), ("r", 1, "N", "number", None, ",", None, None, None), ("r", 2, "d", "date", "%d/%m/%Y", None, None, None, None), ("r", 3, "b", "boolean", None, None, None, ["S"], None), ("r", 4, "s", "string", None, None, None, None, 3), ("q", 0, "i", "integer", None, None, None, None, None)], "resource_id string, pos int, name string, type string, format string, decimalChar string, maximum string, trueValues array<string>, maxLength int")
+    got = []
+    for most in (64, 0):
+        monkeypatch.setattr(conformance, "SPELLED_OUT", most)
+        c = conformance.check(rows, conformance.as_contract(fields))
+        got.append((sorted(map(str, c.totals.collect())), sorted(map(str, c.errors.collect())), sorted(map(str, c.matches.collect()))))
+    assert got[0] == got[1] and len(got[0][1]) == 4
+
+
 def test_validation_of_files(spark):
     files = spark.createDataFrame([("f1", bytearray("ID;DATA;UF\n1;03/05/2022;PE\nx;04/05/2022;PER\n".encode())), ("f2", bytearray(b"<html>"))], "path string, content binary")
     fields = spark.createDataFrame([("f1", 0, "ID", "integer", None), ("f1", 1, "data", "date", None), ("f1", 2, "UF", "string", 2)], "resource_id string, pos int, name string, type string, maxLength int")
