@@ -487,3 +487,22 @@ def test_samples_are_by_ordinal(spark, tmp_path):
     assert [(r.pos, r.type) for r in QUERIES["observed_header"](spark, str(tmp_path)).orderBy("pos").collect()] == [(0, "integer"), (1, "string"), (2, "number"), (3, "any")]
     got = {r.pos: r for r in QUERIES["infer_types"](spark, str(tmp_path)).collect()}
     assert len(got) == 11 and got[0].type == "integer" and got[9].sampleEmptyShare == round(1667 / 5000, 4)
+
+
+def balances_match_sql(spark, folder, name):
+    """Whole, negative and very small numbers, and zero below zero, as its SQL writes them."""
+    import duckdb
+
+    from rowwarden.queries import ORACLE_SQL, QUERIES
+
+    rows = [(i, i % 2, f"c{i}", b) for i, b in enumerate((-0.0, 0.0, -7.0, 12345678.5, 0.00001, -0.25, 1e15))]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey long, c_name string, c_acctbal double").write.parquet(f"{folder}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet/*.parquet'")
+    con.execute(ORACLE_SQL[name])
+    got = QUERIES[name](spark, str(folder)).select([d[0] for d in con.description])
+    assert sorted(map(tuple, got.collect())) == sorted(con.fetchall())
+
+
+def test_balances_of_read_json(spark, tmp_path):
+    balances_match_sql(spark, tmp_path, "read_json")
