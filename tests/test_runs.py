@@ -506,3 +506,7 @@ def balances_match_sql(spark, folder, name):
 
 def test_balances_of_read_json(spark, tmp_path):
     balances_match_sql(spark, tmp_path, "read_json")
+
+
+def test_balances_of_read_ods(spark, tmp_path):
+    balances_match_sql(spark, tmp_path, "read_ods")
