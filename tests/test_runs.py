@@ -510,3 +510,7 @@ def test_balances_of_read_json(spark, tmp_path):
 
 def test_balances_of_read_ods(spark, tmp_path):
     balances_match_sql(spark, tmp_path, "read_ods")
+
+
+def test_balances_of_read_parquet(spark, tmp_path):
+    balances_match_sql(spark, tmp_path, "read_parquet")
