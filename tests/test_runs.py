@@ -514,3 +514,7 @@ def test_balances_of_read_ods(spark, tmp_path):
 
 def test_balances_of_read_parquet(spark, tmp_path):
     balances_match_sql(spark, tmp_path, "read_parquet")
+
+
+def test_balances_of_read_xlsx(spark, tmp_path):
+    balances_match_sql(spark, tmp_path, "read_xlsx")
