@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..session import table, written
 from .common import at_least, largest, plain_names, sortable, unit_hash, with_text_columns
-from .ngram_ratio import BUCKETS, MAX_TARGET_DOCS, grams, log_ratios
+from .ngram_ratio import BUCKETS, grams, log_ratios
 
 SEED = 20
 _KEY = "sum_key"
@@ -74,9 +74,9 @@ def _id_key(doc_id: str) -> Column:
     return F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(-(1 << 63)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_TARGET_DOCS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """Every row of docs (without its text) with its weight and whether it is among the k kept."""
-    ratios = log_ratios(docs, labels, text, doc_id, max_docs, buckets)
+    ratios = log_ratios(docs, labels, text, doc_id, buckets)
     scores = written(weigh(docs, ratios, text, doc_id, seed).drop(text), "weights")
     return scores.withColumn("kept", kept_column(threshold(scores, doc_id, k, good_share(labels)), doc_id)).drop(_KEY)
 

@@ -1,8 +1,8 @@
 """Hashed n-gram models of trusted target text and of the raw corpus, shared by operators 2 and 10.
 
 A text's n-grams are its tokens (runs of word characters or of marks) and its pairs of neighbouring tokens. N-grams
-are hashed to a fixed number of buckets; each model is the smoothed multinomial over buckets. The raw model counts every whole text; the target model counts the
-texts of a bounded sample of rows labelled as good.
+are hashed to a fixed number of buckets; each model is the smoothed multinomial over buckets. The raw model counts every
+whole text; the target model counts every whole text whose id is labelled as good.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import corpus_counts, gram_hashes, mix64, texts, word_hashes
+from .jaccard_join import MAX_BROADCAST_IDS
 
 BUCKETS = 1 << 14
-#: Labelled rows that the target model learns from, at most (the lowest by hash of their id).
-MAX_TARGET_DOCS = 20_000
 #: Added to the count of each bucket.
 SMOOTHING = 1.0
 _TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\x20\x09-\x0d]+")
@@ -30,16 +30,24 @@ def grams(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
     return (mix64(np.concatenate([h, gram_hashes(h, 2)])) & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def good_ids(labels: DataFrame, max_docs: int = MAX_TARGET_DOCS) -> DataFrame:
-    """doc_id of at most max_docs rows labelled of good quality."""
-    ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(max_docs)
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the rows labelled of good quality."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_TARGET_DOCS, buckets: int = BUCKETS) -> np.ndarray:
+def with_target(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """raw_text and is_target of every row of docs. Ids are broadcast if they are few; else texts are shuffled once."""
+    ids = written(good_ids(labels).select(F.col("doc_id").alias("good_id"), F.lit(True).alias("is_target")), "good")
+    few = ids.limit(max_broadcast + 1).count() <= max_broadcast
+    rows = docs.select(F.col(f"`{doc_id}`").alias("row_id"), F.col(f"`{text}`").alias("raw_text"))
+    joined = (rows if few else rows.where("row_id is not null")).join(F.broadcast(ids) if few else ids, F.col("row_id") == F.col("good_id"), "left")
+    marked = joined.select("raw_text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    return marked if few else marked.unionByName(rows.where("row_id is null").select("raw_text", F.lit(False).alias("is_target")))  # rows without an id stay where they are
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS, max_broadcast: int = MAX_BROADCAST_IDS) -> np.ndarray:
     """log P(bucket | target) - log P(bucket | raw) for each bucket. All zero without target text."""
-    marked = F.broadcast(good_ids(labels, max_docs).select(F.col("doc_id").alias(doc_id), F.lit(True).alias("is_target")))  # at most max_docs numbers
-    rows = docs.select(F.col(f"`{doc_id}`").alias(doc_id), F.col(f"`{text}`").alias("raw_text")).join(marked, doc_id, "left").select("raw_text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    rows = with_target(docs, labels, text, doc_id, max_broadcast)
 
     def add(batch: pa.RecordBatch, acc: np.ndarray) -> None:
         for t, target in zip(texts(batch, "raw_text", True), batch.column(1).to_pylist(), strict=True):

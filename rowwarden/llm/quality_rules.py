@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..session import table
 from .common import gram_hashes, plain_names, with_text_columns, word_hashes
-from .ngram_ratio import BUCKETS, MAX_TARGET_DOCS, grams, log_ratios
+from .ngram_ratio import BUCKETS, grams, log_ratios
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -71,8 +71,8 @@ def judge(docs: DataFrame, ratios: np.ndarray, text: str = "text", min_ratio: fl
     return with_text_columns(docs, text, added, make, as_bytes=True)
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_TARGET_DOCS, buckets: int = BUCKETS, min_ratio: float = MIN_RATIO) -> DataFrame:
-    return judge(docs, log_ratios(docs, labels, text, doc_id, max_docs, buckets), text, min_ratio)
+def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS, min_ratio: float = MIN_RATIO) -> DataFrame:
+    return judge(docs, log_ratios(docs, labels, text, doc_id, buckets), text, min_ratio)
 
 
 def keep_by_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rowwarden.llm import importance_resampling, mixing, pieces, quality_rules, token_counts, toxicity
+from rowwarden.llm import importance_resampling, mixing, ngram_ratio, pieces, quality_rules, token_counts, toxicity
 from rowwarden.llm.common import _packed, _unpacked, corpus_counts, largest
 from rowwarden.llm.ngram_ratio import grams, ratios_of
 
@@ -391,3 +391,13 @@ def test_toxicity_of_odd_rows(spark, odd, labels):
     assert toxicity.score_texts(empty(spark), none).count() == 0
     repeated = spark.createDataFrame([(1, f"t{i}") for i in range(50)], "doc_id bigint, text string")
     assert len(toxicity.labelled_texts(repeated, labels).y) == 1
+
+
+def test_every_good_text_is_counted(spark):
+    rows = [(i, f"w{i} x{i % 7}") for i in range(20_300)] + [(None, "no id")]
+    good = set(range(0, 20_300)) - {5}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.range(20_300).selectExpr("id AS doc_id", "CAST(id <> 5 AS INT) AS quality")
+    want = plain_ratios(rows, good)
+    for most in (1_000_000, 100):  # by broadcast and by shuffle
+        assert ngram_ratio.log_ratios(docs, labels, max_broadcast=most) == pytest.approx(want, abs=1e-9)
